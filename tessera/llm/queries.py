@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, quality, warc
+from tessera.llm import bpe, chat, langid, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": langid.query,
     "op2_chat_format": chat.query,
+    "op3_toxicity": toxicity.query,
     "op5_warc": warc.query,
     "op7_byte_bpe": bpe.query,
     "op9_quality_rules": quality.query,
