@@ -42,8 +42,8 @@ WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 @dataclass(frozen=True)
 class Config:
-    per_class: int = 8000
-    chars: int = 16_000_000
+    per_class: int = 4000
+    chars: int = 6_000_000
     discount: float = 1.0
     bigram_factor: float = 60.0
     windows: tuple[int, ...] = (1, 3)
