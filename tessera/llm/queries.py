@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, langid, packing, quality, topk, toxicity, warc
+from tessera.llm import bpe, chat, jaccard, langid, packing, quality, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.query,
+    "op10_jaccard_join": jaccard.query,
     "op2_chat_format": chat.query,
     "op3_toxicity": toxicity.query,
     "op4_packing": packing.query,
