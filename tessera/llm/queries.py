@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, chat, jaccard, langid, packing, quality, topk, toxicity, warc
+from tessera.llm import bpe, chat, jaccard, langid, packing, passages, quality, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.query,
     "op4_packing": packing.query,
     "op5_warc": warc.query,
+    "op6_substring_dedup": passages.query,
     "op7_byte_bpe": bpe.query,
     "op8_topk": topk.query,
     "op9_quality_rules": quality.query,
