@@ -183,17 +183,28 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return np.clip(x, -1, 6)
 
 
-def learn(labelled: DataFrame, config: Config = Config(), text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
-    rows = labelled.select(F.col(f"`{key}`").cast("string").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{label}`").cast("int").alias("label")).filter("label in (0, 1)")
-    sizes = {r["label"]: (r["n"], r["chars"] or 0) for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
-    total = sum(n for n, _ in sizes.values())
-    share = sizes.get(1, (0, 0))[0] / total if total else 0.0
+def learn(docs: DataFrame, labels: DataFrame, config: Config = Config(), text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
+    """Learn from the texts of ``docs`` and the labels of ``labels``, which share ``key``. Labels are
+    counted over all rows; the sample of keys is drawn before any text is read and its bound lets it
+    be a broadcast, so that no text is shuffled."""
+    known = labels.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).filter("key is not null and label in (0, 1)")
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    total = sum(sizes.values())
+    share = sizes.get(1, 0) / total if total else 0.0
     model = Model(share, None, None, config.windows)
     if len(sizes) < 2:
         return model
-    part = {c: min(1.0, config.per_class / n, config.chars / max(1, chars)) for c, (n, chars) in sizes.items()}
     draw = F.pmod(F.xxhash64("key", F.lit("toxicity sample")), F.lit(1_000_000)) / 1_000_000
-    got = rows.filter(draw < F.when(F.col("label") == 1, part[1]).otherwise(part[0])).select("key", "label", "text").toArrow()
+    part = {c: min(1.0, config.per_class / n) for c, n in sizes.items()}
+
+    def sample(part: dict[int, float]) -> DataFrame:
+        drawn = known.filter(draw < F.when(F.col("label") == 1, part[1]).otherwise(part[0]))
+        texts = docs.select(F.col(f"`{key}`").cast("string").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+        return texts.join(F.broadcast(drawn), "key")  # about 2 * per_class keys
+
+    chars = {r["label"]: r["chars"] for r in sample(part).groupBy("label").agg(F.sum(F.length("text")).alias("chars")).collect()}
+    part = {c: p * min(1.0, config.chars / max(1, chars.get(c, 0))) for c, p in part.items()}
+    got = sample(part).toArrow()
     got = got.sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()
     h, own = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for t in K.runs(_lower(got.column("text").combine_chunks())):
@@ -246,5 +257,5 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     seen = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(hashed_id(F.col("doc_id")) % 4 != 2)
-    model = learn(docs.join(seen, "doc_id").select("doc_id", "text", "toxic"))
+    model = learn(docs, seen)
     return score(docs.select("doc_id", (hashed_id(F.col("doc_id")) % 4 == 2).alias("held_out"), "text"), model)
