@@ -132,10 +132,7 @@ def buckets(texts: DataFrame, config: Config) -> DataFrame:
         marked = large.join(apart, "place")
         last = level == config.depth
         stay = marked if last else marked.filter("not apart")
-        n_blocks = F.ceil(F.col("n") / config.bucket).cast("int")
-        block = F.pmod(F.xxhash64("tid", F.lit("block")), n_blocks).cast("int")
-        met = stay.select("place", "path", "tid", block.alias("own"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
-        found.append(met.select("place", "path", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "tid"))
+        found.append(_blocks(stay, config))
         if last:
             break
         then = F.explode(F.sequence(following, F.least(following + config.runs - 1, F.lit(config.functions - 1)))).alias("run")
@@ -147,6 +144,26 @@ def buckets(texts: DataFrame, config: Config) -> DataFrame:
     return out
 
 
+def _blocks(stay: DataFrame, config: Config) -> DataFrame:
+    """Cut large buckets into blocks that meet in pairs. Most members of a bucket of alike texts also
+    share the token of an earlier function outside the path: those pairs are judged there. So the
+    members with that function's most frequent token are settled, and their blocks meet only the
+    blocks of the others."""
+    last = F.element_at("path", -1)
+    earlier = F.filter(F.sequence(F.lit(0), last), lambda f: ~F.array_contains("path", f))
+    stay = stay.withColumn("token", F.get("mins", F.get(earlier, F.lit(0))))
+    counts = stay.filter("token is not null").groupBy("place", "token").agg(F.count(F.lit(1)).alias("m"))
+    common = counts.groupBy("place").agg(F.max_by("token", F.struct("m", "token")).alias("common"), F.max("m").alias("m"))
+    rows = stay.join(common, "place", "left").withColumn("settled", F.coalesce(F.col("token") == F.col("common"), F.lit(False)))
+    blocks = lambda n: F.ceil(n / config.bucket).cast("int")
+    m = F.coalesce("m", F.lit(0))
+    rows = rows.withColumn("s", blocks(m)).withColumn("u", blocks(F.col("n") - m)).withColumn("h", F.xxhash64("tid", F.lit("block")))
+    own = F.when(F.col("settled"), F.pmod("h", F.greatest("s", F.lit(1)))).otherwise(F.col("s") + F.pmod("h", F.greatest("u", F.lit(1)))).cast("int")
+    first = F.when(F.col("settled"), F.col("s")).otherwise(0)
+    met = rows.filter(~F.col("settled") | (F.col("u") > 0)).select("place", "path", "tid", own.alias("own"), F.explode(F.sequence(first, F.col("s") + F.col("u") - 1)).alias("other"))
+    return met.select("place", "path", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "tid")
+
+
 def _judged_here(mins: np.ndarray, g: pa.RecordBatch, config: Config) -> np.ndarray:
     """Pairs whose first common functions are exactly the path, and that agree on enough functions;
     where two blocks meet, pairs across them. Only these are judged in this bucket."""
