@@ -51,3 +51,19 @@ def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     if pa.types.is_large_string(column.type) or pa.types.is_string_view(column.type):
         column = column.cast(pa.string())
     return column.fill_null("") if column.null_count else column
+
+
+#: Bits of a sieve; as 64-bit words they are at most 131,072 rows.
+SIEVE_BITS = 1 << 23
+
+
+def sieve(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split df by its key into rows whose key may be among those of ``wanted`` (its only column) and
+    rows whose key is surely not. A bitmap of fixed size is broadcast, whatever the number of keys, so
+    that rows surely out need no shuffle; the others need an exact join."""
+    name = wanted.columns[0]
+    slot = lambda c: f"pmod(xxhash64(`{c}`), {SIEVE_BITS}L)"
+    words = wanted.selectExpr(f"{slot(name)} as s").groupBy(F.expr("shiftright(s, 6)").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("_bits"))
+    joined = df.join(F.broadcast(words), F.expr(f"shiftright({slot(key)}, 6)") == F.col("_word"), "left")
+    hit = F.expr(f"coalesce(shiftright(_bits, cast({slot(key)} & 63 as int)) & 1, 0) = 1")
+    return joined.filter(hit).select(*[F.col(f"`{c}`") for c in df.columns]), joined.filter(~hit).select(*[F.col(f"`{c}`") for c in df.columns])

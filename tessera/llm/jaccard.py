@@ -5,7 +5,8 @@ Run r splits the texts on one sampled shared token, the shingle that is least un
 texts that share it meet in a bucket. A large bucket is split again on the tokens of later functions
 as long as that pulls its members apart. Small buckets are searched by brute force; large ones whose
 members stay together are cut into blocks, and every pair of blocks is searched. Two texts of
-similarity s meet in a given run with probability s, so ``Config.recall`` fixes the number of runs.
+similarity s agree on a function with probability s, so ``Config.recall`` fixes the number of runs, and
+the number of functions from which a path's further tokens come.
 
 A pair is judged in one place only: the bucket of its first common tokens, which its sketches tell.
 So links are counted without listing pairs, and no group is ever expanded into pairs. Sketches choose
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textkernel as K
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, sieve, table
 from tessera.llm.graph import components
 
 U = K.U
@@ -51,9 +52,13 @@ class Config:
     bucket: int = 256
     depth: int = 3
 
-    @property
-    def runs(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.similarity))
+    def reach(self, level: int) -> int:
+        """How many functions paths of ``level`` tokens draw from: the least number of which a pair of
+        the similarity sought has ``level`` in common with the recall sought."""
+        s, n = self.similarity, level
+        while sum(math.comb(n, i) * s**i * (1 - s) ** (n - i) for i in range(level)) > 1 - self.recall:
+            n += 1
+        return n
 
 
 def shingles(t: K.Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +119,7 @@ def buckets(texts: DataFrame, config: Config) -> DataFrame:
     """(place, path, left, right, own, tid): who is searched where. ``path`` lists the functions
     whose tokens the members share; left and right are the blocks that meet (0, 0: a whole bucket),
     own the member's block."""
-    runs = F.explode(F.sequence(F.lit(0), F.lit(config.runs - 1))).alias("run")
+    runs = F.explode(F.sequence(F.lit(0), F.lit(config.reach(1) - 1))).alias("run")
     rows = texts.select("tid", "mins", runs).select("tid", "mins", F.xxhash64("run", F.col("mins")[F.col("run")]).alias("place"), F.array("run").alias("path"))
     found: list[DataFrame] = []
     for level in range(1, config.depth + 1):
@@ -135,8 +140,9 @@ def buckets(texts: DataFrame, config: Config) -> DataFrame:
         found.append(_blocks(stay, config))
         if last:
             break
-        then = F.explode(F.sequence(following, F.least(following + config.runs - 1, F.lit(config.functions - 1)))).alias("run")
-        split = marked.filter("apart").filter(following < config.functions).select("place", "path", "tid", "mins", then)
+        final = min(config.reach(level + 1), config.functions) - 1
+        then = F.explode(F.sequence(following, F.lit(final))).alias("run")
+        split = marked.filter("apart").filter(following <= final).select("place", "path", "tid", "mins", then)
         rows = split.select("tid", "mins", F.xxhash64("place", "run", F.col("mins")[F.col("run")]).alias("place"), F.concat("path", F.array("run")).alias("path"))
     out = found[0]
     for f in found[1:]:
@@ -298,7 +304,8 @@ def near_duplicates(docs: DataFrame, config: Config = Config()) -> DataFrame:
     # The texts of candidates, once each: the row with the least id, or any of its repetitions.
     wanted = members.select("tid").distinct().join(texts.select("tid", F.col("first").alias("doc_id")), "tid")
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    held = known.join(wanted.withColumnRenamed("tid", "want"), "doc_id").filter(digest == F.col("want")).select(F.col("want").alias("tid"), "text").dropDuplicates(["tid"])
+    near = sieve(known, "doc_id", wanted.select("doc_id"))[0]
+    held = near.join(wanted.withColumnRenamed("tid", "want"), "doc_id").filter(digest == F.col("want")).select(F.col("want").alias("tid"), "text").dropDuplicates(["tid"])
     found = materialize(links(members, held, config), "links")
     labels = components(found.select(F.col("tid").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("tid").agg(F.sum("n").alias("n_links"))
@@ -321,9 +328,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class, the document with the least id stays. Rows that repeat that id
     with another text go; rows that repeat it wholly are one document. Rows without an id stay."""
     found = materialize(near_duplicates(docs), "classes")
-    gone = found.filter("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    first = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(first).select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = found.filter("doc_id <> class_id").select("doc_id", F.lit(True).alias("gone")).distinct()
+    repeated = found.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(False).alias("gone"))
+    status = materialize(gone.unionByName(repeated).groupBy("doc_id").agg(F.max("gone").alias("gone")).withColumnRenamed("doc_id", "_doc_id"), "gone")
+    rows = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    # Most documents are surely not concerned, and not shuffled.
+    maybe, rest = sieve(rows, "_key", status.select("_doc_id"))
+    judged = maybe.join(status, F.col("_key") == F.col("_doc_id"), "left")
+    kept = rest.select(*docs.columns).unionByName(judged.filter("gone is null").select(*docs.columns))
+    if not status.filter("not gone").isEmpty():
+        kept = kept.unionByName(judged.filter("not gone").dropDuplicates(["_key"]).select(*docs.columns))
+    return kept
