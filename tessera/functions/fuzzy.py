@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def lcs(a: str, b: str) -> int:
@@ -52,7 +53,7 @@ def token_set(a: str, b: str, score=ratio) -> float:
     left, right = f"{both} {only_x}".strip(), f"{both} {only_y}".strip()
     if score is partial_ratio:
         return 100.0 if both else partial_ratio(only_x, only_y)
-    return max(score(left, right), *([score(both, left), score(both, right)] if both else []))
+    return max([score(left, right), *([score(both, left), score(both, right)] if both else [])])
 
 
 def weighted_ratio(a: str, b: str) -> float:
@@ -66,7 +67,7 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(base, scale * partial_ratio(a, b), 0.95 * scale * max(token_sort(a, b, partial_ratio), token_set(a, b, partial_ratio)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def weighted_ratio_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([None if x is None or y is None else weighted_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Latin letters with marks and their base letters: the part of Unicode decomposition that SQL can state.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -20,7 +21,7 @@ def normalize_latin(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(bare, "-", " "), "[ \\t\\n\\x0B\\f\\r]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_unicode(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """As normalize_latin(), over all of Unicode."""
     import unicodedata

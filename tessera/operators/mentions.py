@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPAN = ["source", "idx", "start", "end"]
 # Fixed values of the selection policy: chosen model and least score by label, and the supplement's.
@@ -134,7 +135,7 @@ def overlap_ratio(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(r, ["source", "idx"]).filter(inter > 0).withColumn("iou", inter / (F.greatest("end", "end_b") - F.least("start", "start_b")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def mask_same_length(texts: pd.Series) -> pd.Series:
     """Replace references and tags by blanks of the same length, so that offsets stay."""
     return texts.str.replace(r"<[^>]*>|\[\d+\]", lambda m: " " * len(m.group()), regex=True)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessera.functions import geo
 
@@ -36,7 +37,7 @@ def near_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     return l.join(r, "band").withColumn("distance_km", d).filter(F.col("distance_km") <= km).drop("band")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def polygon_distance_km(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Distance of (lat, lon) to a polygon given as an array of (lon, lat): 0 inside, else to its
     planar nearest point in degrees, measured on the sphere."""
