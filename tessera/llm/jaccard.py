@@ -331,11 +331,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = found.filter("doc_id <> class_id").select("doc_id", F.lit(True).alias("gone")).distinct()
     repeated = found.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(False).alias("gone"))
     status = materialize(gone.unionByName(repeated).groupBy("doc_id").agg(F.max("gone").alias("gone")).withColumnRenamed("doc_id", "_doc_id"), "gone")
-    rows = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("key"))
     # Most documents are surely not concerned, and not shuffled.
-    maybe, rest = sieve(rows, "_key", status.select("_doc_id"))
-    judged = maybe.join(status, F.col("_key") == F.col("_doc_id"), "left")
-    kept = rest.select(*docs.columns).unionByName(judged.filter("gone is null").select(*docs.columns))
+    maybe, rest = sieve(rows, "key", status.select("_doc_id"))
+    judged = maybe.join(status, F.col("key") == F.col("_doc_id"), "left")
+    kept = rest.select("row").unionByName(judged.filter("gone is null").select("row"))
     if not status.filter("not gone").isEmpty():
-        kept = kept.unionByName(judged.filter("not gone").dropDuplicates(["_key"]).select(*docs.columns))
-    return kept
+        kept = kept.unionByName(judged.filter("not gone").dropDuplicates(["key"]).select("row"))
+    return kept.select("row.*")
