@@ -55,11 +55,13 @@ def search(labels: DataFrame, query: str, limit: int = 5) -> DataFrame:
 
 def names_in_text(texts: DataFrame, names: DataFrame, longest: int = 6) -> DataFrame:
     """(id, name, n): names (name, as lower-case ASCII words) found in texts as whole words, longest match first
-    (a match inside a longer one does not count). Word n-grams meet the name index in an equi-join."""
-    words = texts.select("id", X.ascii_tokens(F.col("text")).alias("w"))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: F.struct(i.alias("at"), (i + n).alias("end"), F.array_join(F.slice("w", i + 1, n), " ").alias("name")))))
-    grams = words.filter(F.size("w") > 0).select("id", F.explode(spans).alias("g")).select("id", "g.*").filter("end > at").distinct()
-    hits = grams.join(names.select("name").distinct(), "name")
+    (a match inside a longer one does not count). Each word meets the names that begin with it in an
+    equi-join, and the words after it decide."""
+    words = texts.select("id", X.ascii_tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    places = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(i.alias("at"), F.get("w", i).alias("first"), F.concat(F.array_join(F.slice("w", i + 1, longest), " "), F.lit(" ")).alias("gram")))
+    starts = words.select("id", F.explode(places).alias("g")).select("id", "g.*")
+    index = names.select("name").distinct().select("name", F.substring_index("name", " ", 1).alias("first"), F.size(F.split("name", " ")).alias("n"))
+    hits = starts.join(index, "first").filter(F.col("gram").startswith(F.concat("name", F.lit(" ")))).select("id", "at", (F.col("at") + F.col("n")).alias("end"), "name")
     w = W.partitionBy("id").orderBy("at", F.desc("end")).rowsBetween(W.unboundedPreceding, -1)
     kept = hits.withColumn("_reach", F.max("end").over(w)).filter(F.col("_reach").isNull() | (F.col("end") > F.col("_reach")))
     return kept.groupBy("id", "name").agg(F.count(F.lit(1)).alias("n"))
