@@ -26,24 +26,24 @@ from pyspark.sql import types as T
 from tessera.llm.common import strings, table
 
 #: Pieces the dictionary holds before it is emptied, pieces per DuckDB query, texts per output batch.
-KEPT, AT_ONCE, ROWS = 600_000, 40_000, 400
+KEPT, AT_ONCE, ROWS = 600_000, 40_000, 1000
 
-#: Token-position rows (the list's index is the position) join the merge table; each piece's
-#: leftmost minimum-rank pair is contracted. A merged token's id is its rank.
+#: Token-position rows (a list's index is the position) join the merge table; the leftmost pair of
+#: minimum rank of each piece is contracted. A merged token's id is its rank. A piece without such a
+#: pair has reached its fixpoint and is live no more.
 ENCODE = """
-WITH RECURSIVE state(step, piece, ids) AS (
-    SELECT 0, piece, ids FROM todo
+WITH RECURSIVE state(piece, ids, live) AS (
+    SELECT piece, ids, true FROM todo
     UNION ALL
-    SELECT step + 1, piece, ids[:pos - 1] || [merged] || ids[pos + 2:]
-    FROM (
-        SELECT any_value(step) AS step, piece, any_value(ids) AS ids,
-               min((m.merged::BIGINT << 24) | pos) & 16777215 AS pos, (min((m.merged::BIGINT << 24) | pos) >> 24)::INT AS merged
-        FROM (SELECT step, piece, ids, unnest(range(1, len(ids))) AS pos FROM state) AS token
+    SELECT piece, CASE WHEN best IS NULL THEN ids ELSE ids[:(best & 16777215) - 1] || [(best >> 24)::INT] || ids[(best & 16777215) + 2:] END, best IS NOT NULL
+    FROM (SELECT piece, ids FROM state WHERE live) LEFT JOIN (
+        SELECT piece, min((m.merged::BIGINT << 24) | pos) AS best
+        FROM (SELECT piece, ids, unnest(range(1, len(ids))) AS pos FROM state WHERE live) AS token
         JOIN merges AS m ON m.pair = ((ids[pos]::BIGINT << 32) | ids[pos + 1])
         GROUP BY piece
-    )
+    ) USING (piece)
 )
-SELECT piece, arg_max(ids, step) AS ids FROM state GROUP BY piece ORDER BY piece
+SELECT piece, ids FROM state WHERE NOT live ORDER BY piece
 """
 #: Ordered aggregation decodes: the bytes (as hex) of a piece's ids, in order.
 DECODE = """
