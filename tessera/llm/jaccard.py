@@ -18,7 +18,8 @@ number of different texts that its text links to, and the number of documents wi
 
 Defined cases: a text without words, null included, is a class of its own with no links, also if
 several documents have it. Rows with a null doc_id take no part; they get a null class. Words are
-maximal runs of anything but ASCII white space, compared as they are.
+maximal runs of ASCII letters, digits and characters beyond ASCII, in lower case, so that changes of
+case or punctuation do not hide a copy.
 """
 
 from __future__ import annotations
@@ -62,8 +63,8 @@ class Config:
 
 
 def shingles(t: K.Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text of a run, and their texts, in text order."""
-    s, e, own = t.spans(~K.SPACE[t.data])
+    """Distinct shingle hashes of each (lower-case) text of a run, and their texts, in text order."""
+    s, e, own = t.spans(K.LETTER[t.data])
     h = K.hashes(t.prefix(), s, e)
     first, gram = K.windows(h, own, words)
     of = own[first]
@@ -104,7 +105,7 @@ def sketch(docs: DataFrame, config: Config) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in K.runs(b.column(2)):
+            for t in K.runs(K.lowered(b.column(2))):
                 gram, of = shingles(t, config.words)
                 mins = sketches(gram, of, len(t), config.functions)
                 empty = np.bincount(of, minlength=len(t)) == 0
@@ -264,7 +265,7 @@ def links(chosen: DataFrame, distinct: DataFrame, config: Config) -> DataFrame:
             n = g.num_rows
             if n < 2:
                 continue
-            parts = [(gram, of + t.first) for t in K.runs(g.column(6)) for gram, of in [shingles(t, config.words)]]
+            parts = [(gram, of + t.first) for t in K.runs(K.lowered(g.column(6))) for gram, of in [shingles(t, config.words)]]
             gram, of = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             pairs = _judged_here(sketches(gram, of, n, config.functions), g, config)
             i, j = np.nonzero(np.triu(pairs, 1))

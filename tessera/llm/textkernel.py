@@ -24,6 +24,10 @@ CHUNK = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+#: ASCII letters and digits, and every byte of a character beyond ASCII.
+LETTER = np.zeros(256, bool)
+LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -127,3 +131,8 @@ def runs(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[Tex
         j = max(i + 1, int(np.searchsorted(at, at[i] + limit, side="right")) - 1)
         yield Texts(i, body[at[i] : at[j]], at[i : j + 1] - at[i])
         i = j
+
+
+def lowered(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """Lower-case texts, nulls empty."""
+    return pa.array([x.lower() for x in strings(column).to_pylist()], pa.string())

@@ -33,13 +33,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textkernel as K
-from tessera.llm.common import hashed_id, strings, table
+from tessera.llm.common import hashed_id, table
 
 U = K.U
-WORD = np.zeros(256, bool)
-WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-
-
 @dataclass(frozen=True)
 class Config:
     per_class: int = 4000
@@ -52,14 +48,10 @@ class Config:
 
 def tokens(t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of lower-case texts, and the text that each belongs to."""
-    s, e, own = t.spans(WORD[t.data])
+    s, e, own = t.spans(K.LETTER[t.data])
     return K.hashes(t.prefix(), s, e), own
 
 
-def _lower(column: pa.Array) -> pa.Array:
-    return pa.array([x.lower() for x in strings(column).to_pylist()], pa.string())
-
-
 def _pairs(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions whose word follows another of the same text, and the bigrams' hashes."""
     at = np.flatnonzero(own[1:] == own[:-1]) + 1
@@ -170,7 +162,7 @@ class Model:
         out = np.full(len(texts), self.share)
         if self.ratios is None:
             return out
-        for t in K.runs(_lower(texts)):
+        for t in K.runs(K.lowered(texts)):
             x = features(self.ratios, *tokens(t), len(t), self.windows)
             has = ~np.isnan(x[:, 0])
             z = np.column_stack([_squash(x[has]), np.ones(has.sum())]) @ self.curve
@@ -207,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, config: Config = Config(), text: s
     got = sample(part).toArrow()
     got = got.sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()
     h, own = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for t in K.runs(_lower(got.column("text").combine_chunks())):
+    for t in K.runs(K.lowered(got.column("text").combine_chunks())):
         th, to = tokens(t)
         h.append(th)
         own.append(to + t.first)

@@ -380,7 +380,7 @@ def test_topk_prunes_and_stays_exact(spark):
 def brute_sets(texts, k=5):
     out = {}
     for t in texts:
-        w = WORD.findall(t or "")
+        w = re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
         out[t] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
     return out
 
@@ -398,6 +398,7 @@ def test_jaccard_equals_brute_force(spark, bucket):
         texts.append(" ".join(w))
     line = [rng.choice(vocabulary) for _ in range(14)]
     texts += [" ".join([rng.choice(vocabulary) for _ in range(12)] + line) for _ in range(80)]
+    texts += [texts[0].upper(), texts[1].replace(" ", ", ")]
     texts += texts[:5] + ["a b", "a b", "", None, None, "one two three four five", "x " * 9000]
     rows = list(enumerate(texts)) + [(0, texts[0]), (None, "a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tid", F.lit(1)).withColumn("mins", F.lit(2))
