@@ -247,16 +247,16 @@ def bootstrap_ci(star: Star) -> DataFrame:
 
 # --- mentions -------------------------------------------------------------------------------------
 
-MENTION = """m AS (SELECT doc_id // 10 AS source, doc_id % 10 AS idx, i.i * 7 % 40 AS start, i.i * 7 % 40 + 3 + i.i % 4 AS "end", ['PER','LOC','ORG','EVENT','PER'][(doc_id + i.i) % 5 + 1] AS label,
+MENTION = """m AS (SELECT doc_id // 10 AS source, doc_id % 10 AS idx, i.i // 2 * 11 AS start, i.i // 2 * 11 + 9 + i.i // 2 % 4 AS "end", ['PER','LOC','ORG','EVENT','PER'][(doc_id + i.i) % 5 + 1] AS label,
     CASE WHEN (doc_id + i.i) % 2 = 0 THEN 'span' ELSE 'token' END AS model, (doc_id * 31 + i.i * 17) % 100 / 100.0 AS score, (doc_id + i.i) % 11 <> 0 AS valid, 'r' || i.i % 3 AS ref FROM documents, (SELECT unnest(range(8)) AS i) i)"""
 
 
 def _mentions(star: Star) -> DataFrame:
     i, k = F.col("i"), F.col("doc_id")
     rows = star.table("documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
-    at = i * 7 % 40
+    at = F.floor(i / 2) * 11
     return rows.select(
-        F.floor(k / 10).alias("source"), (k % 10).alias("idx"), at.cast("long").alias("start"), (at + 3 + i % 4).cast("long").alias("end"), F.element_at(F.array(*map(F.lit, ("PER", "LOC", "ORG", "EVENT", "PER"))), ((k + i) % 5 + 1).cast("int")).alias("label"),
+        F.floor(k / 10).alias("source"), (k % 10).alias("idx"), at.cast("long").alias("start"), (at + 9 + F.floor(i / 2) % 4).cast("long").alias("end"), F.element_at(F.array(*map(F.lit, ("PER", "LOC", "ORG", "EVENT", "PER"))), ((k + i) % 5 + 1).cast("int")).alias("label"),
         F.when((k + i) % 2 == 0, "span").otherwise("token").alias("model"), ((k * 31 + i * 17) % 100 / 100.0).alias("score"), ((k + i) % 11 != 0).alias("valid"), F.concat(F.lit("r"), i % 3).alias("ref"),
     )
 

@@ -480,8 +480,8 @@ def search_fuzzy(star: Star) -> DataFrame:
 @query("search_ranked")
 def search_ranked(star: Star) -> DataFrame:
     """Weighted-ratio search, which SQL cannot state."""
-    labels = star.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.lit("name").alias("kind"))
-    return search.search(labels, "part 12")
+    labels = star.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.lit("name").alias("kind"))
+    return search.search(labels, "customer#00000123")
 
 
 @query("impact_nodes", f"WITH {EVENT}, b AS (SELECT id, start_date || kind AS v FROM event WHERE o_orderkey % 7 <> 0), a AS (SELECT id, start_date || CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE kind END AS v FROM event WHERE o_orderkey % 11 <> 0) SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'lost' WHEN b.id IS NULL THEN 'gained' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.id = b.id WHERE a.v IS DISTINCT FROM b.v")
