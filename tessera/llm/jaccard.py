@@ -325,6 +325,33 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The same rows by brute force over shared shingles, for tables on which that is quick.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), texts AS (
+    SELECT text, any_value(w) AS w, min(doc_id) AS id, count(*) AS n_copies FROM words GROUP BY text
+), shingles AS (
+    SELECT id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM texts
+), sizes AS (
+    SELECT id, count(*) AS n FROM shingles GROUP BY id
+), common AS (
+    SELECT x.id AS a, y.id AS b, count(*) AS k FROM shingles AS x JOIN shingles AS y ON x.g = y.g AND x.id <> y.id GROUP BY ALL
+), link AS (
+    SELECT a, b FROM common JOIN sizes AS p ON p.id = a JOIN sizes AS q ON q.id = b WHERE k >= 0.8 * (p.n + q.n - k)
+), reach(id, least) AS (
+    SELECT id, id FROM texts UNION SELECT b, least FROM reach JOIN link ON a = reach.id
+), class AS (
+    SELECT id, min(least) AS class_id FROM reach GROUP BY id
+), degree AS (
+    SELECT a AS id, count(*) AS n_links FROM link GROUP BY a
+)
+SELECT doc_id, CASE WHEN len(t.w) = 0 THEN doc_id ELSE class_id END AS class_id, coalesce(n_links, 0) AS n_links, n_copies
+FROM words JOIN texts AS t USING (text) JOIN class ON class.id = t.id LEFT JOIN degree ON degree.id = t.id
+UNION ALL SELECT NULL, NULL, 0, 1 FROM documents WHERE doc_id IS NULL
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class, the document with the least id stays. Rows that repeat that id
     with another text go; rows that repeat it wholly are one document. Rows without an id stay."""

@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": topk.query,
     "op9_quality_rules": quality.query,
 }
-ORACLES: dict[str, str] = {"op2_chat_format": chat.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op8_topk": topk.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op10_jaccard_join": jaccard.ORACLE_SQL, "op2_chat_format": chat.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op8_topk": topk.ORACLE_SQL}
