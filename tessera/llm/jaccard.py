@@ -105,7 +105,7 @@ def sketch(docs: DataFrame, config: Config) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in K.runs(K.lowered(b.column(2))):
+            for t in K.lowered_runs(b.column(2)):
                 gram, of = shingles(t, config.words)
                 mins = sketches(gram, of, len(t), config.functions)
                 empty = np.bincount(of, minlength=len(t)) == 0
@@ -265,7 +265,7 @@ def links(chosen: DataFrame, distinct: DataFrame, config: Config) -> DataFrame:
             n = g.num_rows
             if n < 2:
                 continue
-            parts = [(gram, of + t.first) for t in K.runs(K.lowered(g.column(6))) for gram, of in [shingles(t, config.words)]]
+            parts = [(gram, of + t.first) for t in K.lowered_runs(g.column(6)) for gram, of in [shingles(t, config.words)]]
             gram, of = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             pairs = _judged_here(sketches(gram, of, n, config.functions), g, config)
             i, j = np.nonzero(np.triu(pairs, 1))

@@ -136,3 +136,11 @@ def runs(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[Tex
 def lowered(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """Lower-case texts, nulls empty."""
     return pa.array([x.lower() for x in strings(column).to_pylist()], pa.string())
+
+
+def lowered_runs(column: pa.Array | pa.ChunkedArray, rows: int = 500) -> Iterator[Texts]:
+    """runs() of the lower-case texts, made a few rows at a time to bound the copies."""
+    for at in range(0, len(column), rows):
+        for t in runs(lowered(column.slice(at, rows))):
+            t.first += at
+            yield t

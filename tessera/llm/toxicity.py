@@ -162,7 +162,7 @@ class Model:
         out = np.full(len(texts), self.share)
         if self.ratios is None:
             return out
-        for t in K.runs(K.lowered(texts)):
+        for t in K.lowered_runs(texts):
             x = features(self.ratios, *tokens(t), len(t), self.windows)
             has = ~np.isnan(x[:, 0])
             z = np.column_stack([_squash(x[has]), np.ones(has.sum())]) @ self.curve
@@ -199,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, config: Config = Config(), text: s
     got = sample(part).toArrow()
     got = got.sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()
     h, own = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for t in K.runs(K.lowered(got.column("text").combine_chunks())):
+    for t in K.lowered_runs(got.column("text").combine_chunks()):
         th, to = tokens(t)
         h.append(th)
         own.append(to + t.first)
