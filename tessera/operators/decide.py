@@ -2,26 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import dot
-
 #: Grid of neighbourhood sizes; veto and recovery levels of the second key.
 K_GRID = (3, 5, 7, 9, 11, 15, 21)
 VETO, RECOVERY = 0.3, 0.8
 
 
-def similarities(queries: DataFrame, neighbours: DataFrame, k: int) -> DataFrame:
-    """(query, neighbour, sim, label, rank): the k most similar neighbours of each query, never itself.
-    The neighbour set is a bounded collection of labelled decisions, so it is one side of a
-    nested-loop join in blocks; the window keeps k rows per query before anything else is done."""
-    q = queries.select(F.col("id").alias("query"), F.col("vector").alias("_q"))
-    n = neighbours.select(F.col("id").alias("neighbour"), F.col("vector").alias("_n"), "label")
-    pairs = q.join(n, q["query"] != n["neighbour"]).select("query", "neighbour", F.round(dot(F.col("_q"), F.col("_n")), 9).alias("sim"), "label")
-    w = W.partitionBy("query").orderBy(F.desc("sim"), "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def similarities(queries: DataFrame, neighbours: DataFrame, k: int, most: int = 100_000) -> DataFrame:
+    """(query, neighbour, sim, label, rank): the k most similar neighbours of each query, never itself;
+    ties go to the smaller id. The neighbours are a bounded collection of labelled decisions: at most
+    ``most``, beyond which this raises. They are sent as one matrix, and queries meet it in batches,
+    so no pair but the k best leaves a task."""
+    rows = neighbours.select("id", "vector", "label").limit(most + 1).toArrow().sort_by("id")
+    if rows.num_rows > most:
+        raise ValueError(f"more than {most} neighbours")
+    ids, labels = rows.column("id").to_numpy(), rows.column("label").to_numpy()
+    matrix = np.array(rows.column("vector").to_pylist(), np.float64).reshape(len(ids), -1)
+    shared = queries.sparkSession.sparkContext.broadcast((ids, labels, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, labels, matrix = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows if len(ids) else 0, 256):
+                part = b.slice(at, 256)
+                own = part.column(0).to_numpy()
+                s = np.round(np.array(part.column(1).to_pylist(), np.float64) @ matrix.T, 9)
+                s[own[:, None] == ids[None]] = -np.inf
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                value = np.take_along_axis(s, best, axis=1)
+                i, j = np.nonzero(np.isfinite(value))
+                yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(ids[best[i, j]]), pa.array(value[i, j]), pa.array(labels[best[i, j]].astype(np.int32)), pa.array((j + 1).astype(np.int32))], names=["query", "neighbour", "sim", "label", "rank"])
+
+    source = queries.select(F.col("id").cast("long"), "vector").filter("id is not null and vector is not null")
+    return source.mapInArrow(run, "query long, neighbour long, sim double, label int, rank int")
 
 
 def balanced_vote(top: DataFrame, positives: int, negatives: int, by: list[str] | None = None) -> DataFrame:
