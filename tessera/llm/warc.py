@@ -157,6 +157,11 @@ def parse(raw: bytes) -> tuple:
     return ids[0], kind, ids[1], fields["WARC-Target-URI"], int(size[1]), digest, payload if kind == "response" else None
 
 
+def _store(folder: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system for a folder that Spark names."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
+
+
 def mark_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     """page_id, url, html, digest, size, refers_to: null for responses. Only digests that occur
     more than once meet the pages in a join; hot ones are split by adaptive execution."""
@@ -175,7 +180,7 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        store, root = pafs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         store.create_dir(root, recursive=True)
         held: list[bytes] = []
         size = made = 0
@@ -225,7 +230,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
 
 def archive_pages(pages: DataFrame, folder: str, least: int = 100) -> DataFrame:
     """Write all pages as archives into ``folder`` and return their records, read back."""
-    store, root = pafs.FileSystem.from_uri(folder)
+    store, root = _store(folder)
     store.create_dir(root, recursive=True)
     write_archives(mark_revisits(pages, least), folder).write.format("noop").mode("overwrite").save()
     return read_archives(pages.sparkSession, folder, payloads=False)
