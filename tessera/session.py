@@ -1,4 +1,4 @@
-"""Sending the package to Python workers."""
+"""Preparing a session: the package on Python workers, and Arrow batches that suit long texts."""
 
 from __future__ import annotations
 
@@ -11,9 +11,15 @@ from functools import wraps
 from pyspark.sql import SparkSession
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
     """Give the session's Python workers this package, once per context: they may run on machines, or in
-    folders, that do not have it."""
+    folders, that do not have it. Where the session keeps Spark's default of 10,000 rows per Arrow
+    batch, take 1,000: rows hold whole texts, and batches are held off the heap and in the workers."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     context = spark.sparkContext
     if getattr(context, "_has_tessera", False):
         return
