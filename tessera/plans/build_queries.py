@@ -13,7 +13,7 @@ from tessera.plans.registry import query
 # accepted line is a claim, a returned one a category, an open one a link.
 TIES = """b AS (SELECT o_orderkey, o_orderkey % 200 = 0 AS umbrella FROM orders WHERE o_orderkey % 40 = 0),
 t AS (SELECT l_suppkey AS p, o_orderkey AS b, bool_or(l_returnflag <> 'N') AS strong, any_value(umbrella) AS umbrella FROM lineitem JOIN b ON l_orderkey = o_orderkey GROUP BY ALL),
-a AS (SELECT s_suppkey, count_if(strong AND NOT umbrella) AS s, count_if(b IS NOT NULL AND NOT umbrella) AS specific, count(b) AS n FROM supplier LEFT JOIN t ON p = s_suppkey GROUP BY s_suppkey)"""
+a AS (SELECT s_suppkey, count(*) FILTER (strong AND NOT umbrella) AS s, count(*) FILTER (b IS NOT NULL AND NOT umbrella) AS specific, count(b) AS n FROM supplier LEFT JOIN t ON p = s_suppkey GROUP BY s_suppkey)"""
 
 
 @query(

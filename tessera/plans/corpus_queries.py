@@ -148,7 +148,7 @@ def _scored(star: Star) -> DataFrame:
     return rows.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label"), F.round(F.least(F.col("n_chars"), F.lit(5000)) / 5000.0, 3).alias("score"))
 
 
-CUM = SCORED + ", g AS (SELECT DISTINCT score FROM s), c AS (SELECT g.score, count_if(s.score >= g.score) AS n_ge, sum(label) FILTER (s.score >= g.score) AS pos_ge, count_if(s.score < g.score) AS n_lt, coalesce(sum(label) FILTER (s.score < g.score), 0) AS pos_lt FROM g, s GROUP BY g.score)"
+CUM = SCORED + ", g AS (SELECT DISTINCT score FROM s), c AS (SELECT g.score, count(*) FILTER (s.score >= g.score) AS n_ge, sum(label) FILTER (s.score >= g.score) AS pos_ge, count(*) FILTER (s.score < g.score) AS n_lt, coalesce(sum(label) FILTER (s.score < g.score), 0) AS pos_lt FROM g, s GROUP BY g.score)"
 
 
 @query("threshold_search", f"WITH {CUM}, t AS (SELECT min(score) FILTER (n_ge >= 3 AND pos_ge >= 0.9 * n_ge) AS a, max(score) FILTER (n_lt >= 3 AND n_lt - pos_lt >= 0.5 * n_lt) AS r0, max(score) FILTER (n_lt >= 3 AND n_lt - pos_lt >= 0.9 * n_lt) AS r FROM c) SELECT CASE WHEN r > a THEN (a + r) / 2 ELSE a END AS accept_at, CASE WHEN r > a THEN (a + r) / 2 ELSE r END AS reject_below FROM t")
@@ -161,12 +161,12 @@ def cumulative_counts(star: Star) -> DataFrame:
     return decide.cumulative(_scored(star))
 
 
-@query("auc", f"WITH {SCORED}, r AS (SELECT label, row_number() OVER (ORDER BY score, id) AS rank FROM s) SELECT round((sum(rank) FILTER (label = 1) - count_if(label = 1) * (count_if(label = 1) + 1) / 2) / (count_if(label = 1) * count_if(label = 0)), 9) AS auc FROM r")
+@query("auc", f"WITH {SCORED}, r AS (SELECT label, row_number() OVER (ORDER BY score, id) AS rank FROM s) SELECT round((sum(rank) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 9) AS auc FROM r")
 def auc(star: Star) -> DataFrame:
     return decide.auc(_scored(star), ["id"]).select(F.round("auc", 9).alias("auc"))
 
 
-@query("classification_metrics", f"WITH {SCORED}, p AS (SELECT label, (score >= 0.1)::INT AS predicted FROM s) SELECT avg((predicted = label)::INT) AS accuracy, count_if(predicted = 1 AND label = 1) / count_if(predicted = 1) AS precision, count_if(predicted = 1 AND label = 1) / count_if(label = 1) AS recall FROM p")
+@query("classification_metrics", f"WITH {SCORED}, p AS (SELECT label, (score >= 0.1)::INT AS predicted FROM s) SELECT avg((predicted = label)::INT) AS accuracy, count(*) FILTER (predicted = 1 AND label = 1) / count(*) FILTER (predicted = 1) AS precision, count(*) FILTER (predicted = 1 AND label = 1) / count(*) FILTER (label = 1) AS recall FROM p")
 def classification_metrics(star: Star) -> DataFrame:
     return decide.metrics(_scored(star).withColumn("predicted", (F.col("score") >= 0.1).cast("int")))
 
@@ -200,7 +200,7 @@ def majority_vote(star: Star) -> DataFrame:
     return _votes(star).select("item", decide.majority(F.array("a", "b", "c"), F.col("a")).alias("voted"))
 
 
-@query("agreement", f"WITH {VOTES}, l AS (SELECT item, 'a' AS who, a AS label FROM v UNION ALL SELECT item, 'b', b FROM v UNION ALL SELECT item, 'c', c FROM v WHERE c IS NOT NULL) SELECT x.who AS a, y.who AS b, count(*) AS total, count_if((x.label <> 'wrong') = (y.label <> 'wrong')) AS agree FROM l x JOIN l y ON x.item = y.item AND x.who < y.who GROUP BY ALL")
+@query("agreement", f"WITH {VOTES}, l AS (SELECT item, 'a' AS who, a AS label FROM v UNION ALL SELECT item, 'b', b FROM v UNION ALL SELECT item, 'c', c FROM v WHERE c IS NOT NULL) SELECT x.who AS a, y.who AS b, count(*) AS total, count(*) FILTER ((x.label <> 'wrong') = (y.label <> 'wrong')) AS agree FROM l x JOIN l y ON x.item = y.item AND x.who < y.who GROUP BY ALL")
 def agreement(star: Star) -> DataFrame:
     long = _votes(star).unpivot(["item"], ["a", "b", "c"], "labeller", "label").filter("label is not null")
     return decide.agreement(long)
@@ -329,7 +329,7 @@ def relation_map(star: Star) -> DataFrame:
     return _assertions(star).select("subject", "relation", "object", "family", "observation_id")
 
 
-@query("dq_gate", f"WITH {ASSERTION} SELECT relation, count(*) AS n_rows, count(DISTINCT observation_id) AS ids, count_if(family = 'UNRESOLVED') AS unresolved, 0::BIGINT AS without_end, 0::BIGINT AS loops FROM i GROUP BY relation")
+@query("dq_gate", f"WITH {ASSERTION} SELECT relation, count(*) AS n_rows, count(DISTINCT observation_id) AS ids, count(*) FILTER (family = 'UNRESOLVED') AS unresolved, 0::BIGINT AS without_end, 0::BIGINT AS loops FROM i GROUP BY relation")
 def dq_gate(star: Star) -> DataFrame:
     return release.quality_gate(_assertions(star)).withColumnRenamed("rows", "n_rows")
 
@@ -415,8 +415,8 @@ def _trace(star: Star) -> DataFrame:
 
 @query(
     "trace_diagnostics",
-    f"""WITH {RUN} SELECT run_id, count_if(event = 'model_end') AS steps, count_if(event = 'tool_end') AS tool_calls, count_if(event = 'tool_end' AND status = 'empty') AS empty_results,
-    count_if(event = 'tool_end') - count(DISTINCT name || '|' || args) FILTER (event = 'tool_end') AS repeated_calls, coalesce(sum(latency_ms) FILTER (event = 'model_end'), 0)::BIGINT AS model_ms, coalesce(sum(latency_ms) FILTER (event = 'tool_end'), 0)::BIGINT AS tools_ms,
+    f"""WITH {RUN} SELECT run_id, count(*) FILTER (event = 'model_end') AS steps, count(*) FILTER (event = 'tool_end') AS tool_calls, count(*) FILTER (event = 'tool_end' AND status = 'empty') AS empty_results,
+    count(*) FILTER (event = 'tool_end') - count(DISTINCT name || '|' || args) FILTER (event = 'tool_end') AS repeated_calls, coalesce(sum(latency_ms) FILTER (event = 'model_end'), 0)::BIGINT AS model_ms, coalesce(sum(latency_ms) FILTER (event = 'tool_end'), 0)::BIGINT AS tools_ms,
     CASE WHEN min(seq) FILTER (event = 'tool_end' AND name <> 'search') IS NOT NULL THEN coalesce(min(seq) FILTER (event = 'tool_end' AND name = 'search') < min(seq) FILTER (event = 'tool_end' AND name <> 'search'), false) END AS resolved_before_query FROM e GROUP BY run_id""",
 )
 def trace_diagnostics(star: Star) -> DataFrame:
@@ -425,7 +425,7 @@ def trace_diagnostics(star: Star) -> DataFrame:
 
 @query("trace_percentiles", f"WITH {RUN} SELECT event, count(*) AS n, round(avg(latency_ms), 6) AS mean, quantile_disc(latency_ms, 0.5) AS p50, quantile_disc(latency_ms, 0.95) AS p95 FROM e GROUP BY event")
 def trace_percentiles(star: Star) -> DataFrame:
-    return trace.percentiles(_trace(star), "latency_ms", ["event"]).withColumn("mean", F.round("mean", 6))
+    return trace.percentiles(_trace(star), "latency_ms", ["event"]).select("event", "n", F.round("mean", 6).alias("mean"), F.col("p50").cast("long").alias("p50"), F.col("p95").cast("long").alias("p95"))
 
 
 @query("replay_match", "SELECT o_orderkey AS call, CASE WHEN o_orderkey % 10 = 0 THEN 'missing' WHEN o_orderkey % 7 = 0 THEN 'differs' ELSE 'match' END AS state FROM orders")

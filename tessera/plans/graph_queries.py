@@ -81,7 +81,7 @@ def relation_catalog(star: Star) -> DataFrame:
 @query(
     "family_summary",
     f"""WITH {SEEN_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY edges DESC, type) AS rn FROM cat)
-    SELECT family, count(*) AS relations, count_if(used) AS used, sum(edges)::BIGINT AS edges, string_agg(type, ',' ORDER BY rn) FILTER (rn <= 3) AS top FROM r GROUP BY family""",
+    SELECT family, count(*) AS relations, count(*) FILTER (used) AS used, sum(edges)::BIGINT AS edges, string_agg(type, ',' ORDER BY rn) FILTER (rn <= 3) AS top FROM r GROUP BY family""",
 )
 def family_summary(star: Star) -> DataFrame:
     return edges.family_summary(_catalog(star))
@@ -108,8 +108,8 @@ def graph_schema(star: Star) -> DataFrame:
 
 @query(
     "coverage",
-    f"""WITH {EDGE} SELECT type, count(*) AS edges, count_if(point_date IS NULL) AS undated, count_if(point_date IS NULL AND event_start IS NOT NULL) AS dated_by_event,
-    count_if(point_date IS NOT NULL) AS point_dated, 0::BIGINT AS without_family, 0::BIGINT AS loops, count(*) AS support FROM edge GROUP BY type""",
+    f"""WITH {EDGE} SELECT type, count(*) AS edges, count(*) FILTER (point_date IS NULL) AS undated, count(*) FILTER (point_date IS NULL AND event_start IS NOT NULL) AS dated_by_event,
+    count(*) FILTER (point_date IS NOT NULL) AS point_dated, 0::BIGINT AS without_family, 0::BIGINT AS loops, count(*) AS support FROM edge GROUP BY type""",
 )
 def coverage(star: Star) -> DataFrame:
     return edges.coverage(star.edges())
