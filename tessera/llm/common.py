@@ -31,10 +31,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/tessera-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def parts(spark: SparkSession, rows: int, each: int = 5000) -> int:
+    """Partitions for so many rows: in proportion to them, and enough for all cores."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
+def materialize(df: DataFrame, name: str, n_parts: int | None = None) -> DataFrame:
     """Write a frame as Parquet into the shared folder and read it back: lineage is cut, and a
-    lost executor costs a reread instead of a recomputation."""
+    lost executor costs a reread instead of a recomputation. ``n_parts`` bounds the number of files
+    where the last shuffle has many small partitions."""
     path = scratch_path(df.sparkSession, name)
+    df = df.coalesce(n_parts) if n_parts else df
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

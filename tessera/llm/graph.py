@@ -8,28 +8,39 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize
 
 
+#: Rows of a stored part; small tables are one file, not one for each shuffle partition.
+PART = 250_000
+
+
+def _stored(df: DataFrame, name: str, rows: int) -> DataFrame:
+    return materialize(df.coalesce(max(1, -(-rows // PART))), name)
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, label) for every endpoint of the edges (a, b): label is the least node of its
     component. Each round hooks every node to its least neighbour, follows the hooks twice and
     contracts the graph, which at least halves the nodes that still have edges."""
-    live = materialize(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    live = _stored(edges.select("a", "b").filter("a <> b").distinct(), "edges", edges.count())
     found: DataFrame | None = None
+    nodes = 0
     for _ in range(rounds):
-        if live.isEmpty():
+        n = live.count()
+        if not n:
             break
+        nodes = nodes or 2 * n
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "hooks")
+        hook = _stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "hooks", 2 * n)
         for _ in range(2):
             up = hook.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            hook = materialize(hook.join(up, "to", "left").select("node", F.coalesce("next", "to").alias("to")), "hooks")
+            hook = _stored(hook.join(up, "to", "left").select("node", F.coalesce("next", "to").alias("to")), "hooks", 2 * n)
         if found is None:
             found = hook.withColumnRenamed("to", "label")
         else:
             step = hook.select(F.col("node").alias("label"), "to")
             found = found.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        found = materialize(found, "labels")
+        found = _stored(found, "labels", nodes)
         left, right = hook.select(F.col("node").alias("a"), F.col("to").alias("x")), hook.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        live = materialize(live.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct(), "edges")
+        live = _stored(live.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct(), "edges", n)
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
     return found

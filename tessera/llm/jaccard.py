@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textkernel as K
-from tessera.llm.common import materialize, sieve, table
+from tessera.llm.common import materialize, parts, sieve, table
 from tessera.llm.graph import components
 
 U = K.U
@@ -116,7 +116,7 @@ def sketch(docs: DataFrame, config: Config) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, tid string, mins array<long>")
 
 
-def buckets(texts: DataFrame, config: Config) -> DataFrame:
+def buckets(texts: DataFrame, config: Config, n_parts: int | None = None) -> DataFrame:
     """(place, path, left, right, own, tid): who is searched where. ``path`` lists the functions
     whose tokens the members share; left and right are the blocks that meet (0, 0: a whole bucket),
     own the member's block."""
@@ -125,7 +125,7 @@ def buckets(texts: DataFrame, config: Config) -> DataFrame:
     found: list[DataFrame] = []
     for level in range(1, config.depth + 1):
         counts = rows.groupBy("place").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        rows = materialize(rows.join(counts, "place"), "buckets")
+        rows = materialize(rows.join(counts, "place"), "buckets", n_parts)
         whole = F.col("n") <= config.bucket
         found.append(rows.filter(whole).select("place", "path", F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(0).alias("own"), "tid"))
         large = rows.filter(~whole)
@@ -298,16 +298,17 @@ def near_duplicates(docs: DataFrame, config: Config = Config()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.filter("doc_id is not null")
     rows = materialize(sketch(known, config), "sketches")
+    n_parts = parts(docs.sparkSession, rows.count())
     texts = rows.groupBy("tid").agg(F.first("mins").alias("mins"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_copies"))
-    texts = materialize(texts, "texts")
+    texts = materialize(texts, "texts", n_parts)
     full = texts.filter("mins is not null").select("tid", "mins")
-    members = materialize(candidates(buckets(full, config), full, config), "candidates")
+    members = materialize(candidates(buckets(full, config, n_parts), full, config), "candidates", n_parts)
     # The texts of candidates, once each: the row with the least id, or any of its repetitions.
     wanted = members.select("tid").distinct().join(texts.select("tid", F.col("first").alias("doc_id")), "tid")
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     near = sieve(known, "doc_id", wanted.select("doc_id"))[0]
     held = near.join(wanted.withColumnRenamed("tid", "want"), "doc_id").filter(digest == F.col("want")).select(F.col("want").alias("tid"), "text").dropDuplicates(["tid"])
-    found = materialize(links(members, held, config), "links")
+    found = materialize(links(members, held, config), "links", n_parts)
     labels = components(found.select(F.col("tid").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("tid").agg(F.sum("n").alias("n_links"))
     named = texts.drop("mins").join(labels.withColumnRenamed("node", "tid"), "tid", "left").join(counted, "tid", "left")
@@ -355,10 +356,11 @@ UNION ALL SELECT NULL, NULL, 0, 1 FROM documents WHERE doc_id IS NULL
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class, the document with the least id stays. Rows that repeat that id
     with another text go; rows that repeat it wholly are one document. Rows without an id stay."""
-    found = materialize(near_duplicates(docs), "classes")
+    n_parts = parts(spark, docs.count())
+    found = materialize(near_duplicates(docs), "classes", n_parts)
     gone = found.filter("doc_id <> class_id").select("doc_id", F.lit(True).alias("gone")).distinct()
     repeated = found.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(False).alias("gone"))
-    status = materialize(gone.unionByName(repeated).groupBy("doc_id").agg(F.max("gone").alias("gone")).withColumnRenamed("doc_id", "_doc_id"), "gone")
+    status = materialize(gone.unionByName(repeated).groupBy("doc_id").agg(F.max("gone").alias("gone")).withColumnRenamed("doc_id", "_doc_id"), "gone", n_parts)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(whole, F.col("doc_id").cast("long").alias("key"))
     # Most documents are surely not concerned, and not shuffled.
