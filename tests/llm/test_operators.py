@@ -526,6 +526,34 @@ def test_chain_equals_quadratic():
         assert value == pytest.approx(max(score))
 
 
+def test_chain_equals_quadratic_at_the_gap():
+    rng = np.random.default_rng(13)
+    c = passages.Config()
+    for _ in range(60):
+        n = int(rng.integers(2, 30))
+        a = np.sort(rng.integers(0, 600, n))
+        last = a + rng.integers(0, 120, n)
+        b = np.maximum(a + rng.integers(-60, 60, n), 0)
+        b_last, weight = b + last - a, last - a + c.k
+        score = [0.0] * n
+        for i in sorted(range(n), key=lambda i: (a[i], i)):
+            near = [j for j in range(n) if 0 < a[i] - last[j] <= c.gap + c.k and 0 < b[i] - b_last[j] <= c.gap + c.k]
+            score[i] = float(weight[i]) + max([0.0, *[score[j] - c.gap_cost * float(a[i] - last[j] + b[i] - b_last[j]) for j in near]])
+        top = passages.chain(a, last, b - a, weight, c)[0]
+        value = sum(float(weight[i]) for i in top) - sum(c.gap_cost * float(a[j] - last[i] + b[j] - b_last[i]) for i, j in zip(top, top[1:], strict=False))
+        assert value == pytest.approx(max(score))
+
+
+def test_long_block_hides_no_later_passage(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    block, passage, fill = [word() for _ in range(400)], [word() for _ in range(70)], lambda n: [word() for _ in range(n)]
+    texts = [block + fill(80) + passage, block + fill(80) + passage[:35] + fill(1) + passage[35:]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    spans = sorted((r["start"], r["end"]) for r in passages.passages(df).collect())
+    assert spans == [(0, 400), (480, 551)]
+
+
 # --- pipeline -------------------------------------------------------------------------------------
 
 
