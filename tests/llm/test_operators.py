@@ -554,6 +554,37 @@ def test_long_block_hides_no_later_passage(spark):
     assert spans == [(0, 400), (480, 551)]
 
 
+def test_passage_of_sentences_seen_before(spark):
+    rng = random.Random(15)
+    fill = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    one, two = fill(30), fill(30)
+    texts = {1: fill(20) + one + fill(20), 2: fill(20) + two + fill(20)} | {i: fill(9) + one + fill(9) for i in (600, 700)} | {i: fill(9) + two + fill(9) for i in (650, 800)}
+    texts |= {i: fill(30) + one + two + fill(30) for i in (500, 900)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").coalesce(1)
+    out = [(r["doc_id"], r["ref_doc_id"], r["start"], r["end"], r["ref_start"]) for r in passages.passages(df).collect()]
+    assert out == [(900, 500, 30, 90, 30)]
+
+
+def test_verbatim_words_survive_what_surrounds_them(spark):
+    rng = random.Random(16)
+    fill = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    ends, passage = [fill(12), fill(12)], fill(50)
+    df = spark.createDataFrame([(i, " ".join(fill(20) + ends[0] + fill(22) + passage + fill(22) + ends[1] + fill(20))) for i in range(2)], "doc_id long, text string")
+    ((start, end),) = [(r["start"], r["end"]) for r in passages.passages(df).collect()]
+    assert start <= 54 and end >= 104
+
+
+def test_cover_keeps_every_word():
+    rng = np.random.default_rng(17)
+    words = lambda a, b: set().union(*(range(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)))
+    for _ in range(200):
+        a = rng.integers(0, 100, int(rng.integers(1, 40)))
+        b = a + rng.integers(1, 20, len(a))
+        at = passages.cover(a, b)
+        assert words(a[at], b[at]) == words(a, b) and len(set(at.tolist())) == len(at)
+    assert passages.cover(np.arange(150), np.arange(150) + 50).tolist() == [0, 50, 100, 149]
+
+
 # --- pipeline -------------------------------------------------------------------------------------
 
 
