@@ -2,11 +2,14 @@
 
 Every rule votes good, bad or abstains on a document. Expectation-maximisation over the counts of
 all vote patterns (at most 3**rules of them, whatever the corpus size) estimates how often each
-rule casts each vote on good and on bad documents; the posterior probability of "good" decides,
-instead of demanding that every rule passes.
+rule that votes is right on good and on bad documents; the posterior probability of "good" decides,
+instead of demanding that every rule passes. Rules overlap on purpose: junk that is one fails several, so
+that agreement, which is all that EM sees, tells a rule's finding from its noise. A lone bad vote is
+outvoted where the rules that agree with each other say good.
 
 Null or empty texts have no words, fail the base rules and are not kept. Repeated rows are judged
-row by row. Columns of the input that clash with the features are replaced by them.
+row by row. Columns of the input that clash with the features are replaced by them. Patterns are
+judged, not rows, so ties have one verdict. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import types as T
 from tessera.llm import textkernel as K
 from tessera.llm.common import materialize
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_symbol_words", "n_letter_words", "n_word_letters")
 GOOD, BAD, ABSTAIN = 1, -1, 0
 
 
@@ -35,6 +38,8 @@ def _flags(chars: bytes) -> np.ndarray:
 
 SYMBOL = _flags(b"#*$%&|<>")
 UPPER, LOWER = _flags(bytes(range(65, 91))), _flags(bytes(range(97, 123)))
+#: First bytes of letters; every character beyond ASCII counts as one.
+LETTER = UPPER | LOWER | _flags(bytes(range(0xC0, 256)))
 
 
 def _sums(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -44,6 +49,13 @@ def _sums(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(total[at])
 
 
+def _within(mask: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Counts of set flags in the slices [s, e)."""
+    total = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=total[1:])
+    return total[e] - total[s]
+
+
 def _duplicates(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Flags every key that occurs at least twice within its own text."""
     with np.errstate(over="ignore"):
@@ -76,6 +88,7 @@ def measure(t: K.Texts) -> np.ndarray:
     distinct = lown[np.unique(lines, return_index=True)[1]]
     n_lines = np.bincount(lown, minlength=n)
     upper = UPPER[t.data]
+    letters = _within(LETTER[t.data], s, e)
     return np.stack(
         [
             np.bincount(own, minlength=n),
@@ -86,6 +99,9 @@ def measure(t: K.Texts) -> np.ndarray:
             n_lines,
             _sums(upper, t.at),
             _sums(upper | LOWER[t.data], t.at),
+            np.bincount(own[_within(SYMBOL[t.data], s, e) > 0], minlength=n),
+            np.bincount(own[letters > 0], minlength=n),
+            np.bincount(own, weights=letters, minlength=n).astype(np.int64),
         ],
         axis=1,
     )
@@ -124,9 +140,12 @@ class Rule:
 
 RULES = (
     Rule("length", "n_words", "x >= 80", "x < 50"),
-    Rule("word_length", "word_chars / greatest(n_words, 1)", "x between 3 and 9", "x < 2 or x > 12"),
+    Rule("word_length", "word_chars / greatest(n_words, 1)", "x between 3.5 and 7", "x < 2.5 or x > 10"),
     Rule("symbols", "n_symbols / greatest(n_words, 1)", "x < 0.02", "x > 0.1"),
-    Rule("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", "x < 0.05", "x > 0.5"),
+    Rule("symbol_words", "n_symbol_words / greatest(n_words, 1)", "x < 0.02", "x > 0.1"),
+    Rule("letter_words", "n_letter_words / greatest(n_words, 1)", "x > 0.9", "x < 0.8"),
+    Rule("letters", "n_word_letters / greatest(word_chars, 1)", "x > 0.9", "x < 0.8"),
+    Rule("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", "x < 0.05", "x > 0.3"),
     Rule("repeated_words", "n_repeat_words / greatest(n_words, 1)", "x < 0.1", "x > 0.3"),
     Rule("capitals", "n_upper / greatest(n_letters, 1)", "x < 0.15", "x > 0.4"),
     Rule("line_words", "n_words / greatest(n_lines, 1)", "x > 5", "x < 2.5"),
@@ -136,61 +155,41 @@ BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 @dataclass
 class LabelModel:
-    """P(good) and, per rule, P(vote | bad) and P(vote | good) for the votes -1, 0, 1."""
+    """P(good) and, per rule, P(bad vote | the rule votes) on bad (first) and on good documents. An
+    abstention is no evidence."""
 
     prior: float
-    tables: np.ndarray  # rules x 2 classes x 3 votes
+    bad: np.ndarray  # 2 classes x rules
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        logs = np.log(self.tables)
-        own = np.arange(votes.shape[1])
-        lo = np.log([1 - self.prior, self.prior])
-        both = [lo[c] + logs[own, c, votes + 1].sum(axis=1) for c in (0, 1)]
-        return 1 / (1 + np.exp(np.clip(both[0] - both[1], -700, 700)))
+        """P(good | votes) of each row of votes."""
+        said = [np.where(votes == BAD, np.log(p), np.where(votes == GOOD, np.log1p(-p), 0.0)).sum(axis=1) for p in self.bad]
+        odds = np.log(self.prior) - np.log1p(-self.prior) + said[1] - said[0]
+        return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
     def accuracies(self) -> np.ndarray:
         """P(vote is right | the rule votes), under the model."""
-        t, p = self.tables, self.prior
-        right = p * t[:, 1, 2] + (1 - p) * t[:, 0, 0]
-        return right / (right + p * t[:, 1, 0] + (1 - p) * t[:, 0, 2])
-
-
-def _oriented(tables: np.ndarray, prior: float, ratio: float) -> np.ndarray:
-    """Hold every rule to its meaning. An abstention is no evidence: its share is the same in
-    both classes. A bad vote is at least ``ratio`` times as common on bad documents as on good
-    ones: where the estimate says less, the vote's whole share is kept and split at that ratio.
-    Without this, a rule whose junk fails no other rule would be learned as noise, or upside down."""
-    for t in tables:
-        silent = (1 - prior) * t[0, 1] + prior * t[1, 1]
-        for c in (0, 1):
-            t[c, [0, 2]] *= (1 - silent) / t[c, [0, 2]].sum()
-        t[:, 1] = silent
-        worse, better = t[0, 0], t[1, 0]
-        if worse < ratio * better:
-            share = (1 - prior) * worse + prior * better
-            worse = min(0.98 * (1 - silent), share / (1 - prior + prior / ratio))
-            t[:, 0] = worse, worse / ratio
-            t[:, 2] = 1 - silent - t[:, 0]
-    return tables
-
-
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, smooth: float = 0.01, ratio: float = 50) -> LabelModel:
-    """EM over vote patterns. It starts from the rules' own meaning: any bad vote, probably bad.
-    ``smooth`` pseudo-shares keep every probability positive, also where a class is empty."""
+        return self.prior * (1 - self.bad[1]) + (1 - self.prior) * self.bad[0]
+
+
+def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 500) -> LabelModel:
+    """EM over vote patterns. It starts from the rules' own meaning, any bad vote: probably bad; what
+    the votes are worth is estimated. One vote of each kind is added to each rule and class, which
+    keeps every probability positive. Good is the class in which bad votes are rarer."""
     votes, counts = np.asarray(votes, np.int64), np.asarray(counts, np.float64)
-    good = np.where((votes == BAD).any(axis=1), 0.1, np.where((votes == GOOD).any(axis=1), 0.95, 0.5))
-    model = LabelModel(0.5, np.full((votes.shape[1], 2, 3), 1 / 3))
+    good = np.where((votes == BAD).any(axis=1), 0.25, 0.9)
+    against, voting = (votes == BAD).astype(float), (votes != ABSTAIN).astype(float)
     total = max(counts.sum(), 1.0)
+    model = LabelModel(0.5, np.full((2, votes.shape[1]), 0.5))
     for _ in range(rounds):
         w = np.stack([counts * (1 - good), counts * good])
-        tables = np.stack([[[w[c][votes[:, r] == v].sum() for v in (-1, 0, 1)] for c in (0, 1)] for r in range(votes.shape[1])])
-        tables = tables + smooth * total * 1e-2
-        prior = float(np.clip(w[1].sum() / total, 0.02, 0.98))
-        model = LabelModel(prior, _oriented(tables / tables.sum(axis=2, keepdims=True), prior, ratio))
+        model = LabelModel(float(np.clip(w[1].sum() / total, 0.02, 0.98)), (w @ against + 1) / (w @ voting + 2))
         new = model.posterior(votes)
         if np.abs(new - good).max(initial=0) < 1e-9:
             break
         good = new
+    if model.bad[0].sum() < model.bad[1].sum():
+        model = LabelModel(1 - model.prior, model.bad[::-1])
     return model
 
 
@@ -198,7 +197,7 @@ def judge(features: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float
     """Add base_failed, quality (posterior) and kept to rows that carry FEATURES. All rows are
     counted; only the vote patterns reach the driver."""
     spark = features.sparkSession
-    names = [f"vote_{r.name}" for r in rules]
+    names = [f"_vote_{r.name}" for r in rules]
     votes = features.select("*", *[r.vote().cast("int").alias(n) for r, n in zip(rules, names, strict=True)])
     rows = votes.groupBy(*names).count().collect()
     patterns = np.array([[r[n] for n in names] for r in rows], np.int64).reshape(-1, len(names))
