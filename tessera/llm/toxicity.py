@@ -1,24 +1,27 @@
 """Toxicity by class-conditional Kneser-Ney word models.
 
-Two bigram models, of toxic and of ordinary text, are compared on every text. Each discounts its
-bigrams onto its own unigrams and those onto one continuation distribution that both classes share:
-the number of different words before a word, counted over both. A rare expression that neither class
-knows well therefore weighs the same in both and says nothing. Expressions are counted once for each
-different text, and the discount takes ``Config.discount`` texts from each count, so that what one or
-two texts repeat is left to the shared counts. Bigrams give up ``Config.bigram_factor`` times that, and
-what a context gives up is measured over both classes, so that a bigram which neither class knows well
-weighs as its last word does.
-
-The log-likelihood ratio is normalised by length: over the whole text, and over windows of
-``Config.windows`` words, of which the highest counts, so that a short passage is found in a long
-text. A logistic curve over these, fitted on out-of-fold ratios, gives the score.
+Two interpolated bigram models, of toxic and of ordinary text, are compared on every text. A class's
+bigrams back off to bigrams counted over both classes, those to the class's continuation counts (the
+number of different words before a word), and those to the continuation counts of both classes, which
+share a last uniform level for words unknown to both. So a rare expression is smoothed by counts that
+both classes share, and says little. Shared levels give up the modified Kneser-Ney discounts, estimated
+from counts of counts; a class's levels give up their upper bounds, ``Config.discounts``: what one to
+three texts of a class hold is left to the shared counts. Expressions are counted once for each
+different text.
+
+The log-likelihood ratio is normalised by length: over the whole text, and over phrases of
+``Config.phrase`` words, of which the highest counts, so that a short passage is found in a long
+text. A logistic curve over these two, fitted on out-of-fold ratios, gives the score; neither may count
+against toxicity.
 
 The models learn from a bounded sample of labelled rows: about ``Config.per_class`` texts and at most
-about ``Config.chars`` characters of each class, drawn by a hash of the id. Labels, language, source
-and id are never inputs of a score.
+about ``Config.chars`` characters of each class, drawn by hashes of the id and, where ids repeat, of the
+text. Equal texts of one label count once. Labels, language, source and id are never inputs of a score.
 
 Defined cases: texts without a word, null ones included, score the share of label 1 among the
-labelled rows (0 without any); without rows of both classes every text scores that share.
+labelled rows (0 without any); without rows of both classes every text scores that share. Rows that
+repeat are scored row by row; columns named score or predicted are replaced. A key with both labels
+counts for both.
 """
 
 from __future__ import annotations
@@ -36,13 +39,15 @@ from tessera.llm import textkernel as K
 from tessera.llm.common import hashed_id, table
 
 U = K.U
+
+
 @dataclass(frozen=True)
 class Config:
     per_class: int = 4000
     chars: int = 6_000_000
-    discount: float = 1.0
-    bigram_factor: float = 60.0
-    windows: tuple[int, ...] = (1, 3)
+    #: What class counts of one, two, and three or more texts give up.
+    discounts: tuple[float, float, float] = (1.0, 2.0, 3.0)
+    phrase: int = 3
     folds: int = 4
 
 
@@ -67,73 +72,101 @@ def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at, len(keys))
 
 
+def _once(which: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
+    """For each of n kinds, in how many different texts it occurs."""
+    pairs = np.unique((texts.astype(np.int64) * max(n, 1)) + which)
+    return np.bincount(pairs % max(n, 1), minlength=n)[:n] if len(pairs) else np.zeros(n, np.int64)
+
+
+def modified_discounts(counts: np.ndarray) -> np.ndarray:
+    """What counts of 0, 1, 2, and 3 or more give up: modified Kneser-Ney, from counts of counts. Where
+    those are too few for the estimate, three quarters of each count's least value."""
+    n = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6).astype(float)
+    if not n[1:5].all():
+        return np.array([0.0, 0.75, 1.5, 2.25])
+    y = n[1] / (n[1] + 2 * n[2])
+    return np.array([0.0, *[np.clip(k - (k + 1) * y * n[k + 1] / n[k], 0.0, k) for k in (1, 2, 3)]])
+
+
+def _given(counts: np.ndarray, discounts: np.ndarray) -> np.ndarray:
+    return discounts[np.minimum(counts, 3).astype(np.int64)]
+
+
+def _level(counts: np.ndarray, discounts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """A distribution over words and the unknown one (last), interpolated with a lower one."""
+    total = counts.sum()
+    if not total:
+        return lower
+    given = _given(counts, discounts)
+    return np.append(counts - given, 0.0) / total + given.sum() / total * lower
+
+
+def _bigrams(counts: np.ndarray, left: np.ndarray, n: int, discounts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Discounted share of each bigram after its first word (last: an unseen one), and the weight of the
+    lower level after each word (last: an unknown one)."""
+    given = _given(counts, discounts)
+    total = np.bincount(left, weights=counts, minlength=n)
+    weight = np.where(total > 0, np.bincount(left, weights=given, minlength=n) / np.maximum(total, 1), 1.0)
+    return np.append((counts - given) / np.maximum(total[left], 1), 0.0), np.append(weight, 1.0)
+
+
 @dataclass
 class Ratios:
-    """log p(word | toxic) - log p(word | ordinary): per bigram that either model knows, and per word
-    elsewhere. The last entry of each stands for unknown ones."""
+    """Both models. Last entries stand for unknown words and unseen bigrams; tables of two rows hold the
+    toxic class first."""
 
-    bigrams: np.ndarray
-    bigram: np.ndarray
     words: np.ndarray
-    word: np.ndarray
+    word: np.ndarray  # 2 x words: p(word), where no word precedes and as the lower level
+    bigrams: np.ndarray
+    own: np.ndarray  # 2 x bigrams: the class's discounted share
+    own_weight: np.ndarray  # 2 x words: weight of the shared bigrams after a word
+    shared: np.ndarray
+    shared_weight: np.ndarray
 
-    def per_word(self, h: np.ndarray, own: np.ndarray) -> np.ndarray:
+    def logs(self, h: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """log p(word | the word before) of every word, in both classes."""
         w = _find(self.words, h)
-        out = self.word[w]
+        p = self.word[:, w]
         at, pair = _pairs(h, own)
-        b = _find(self.bigrams, pair)
-        out[at] = np.where(b < len(self.bigrams), self.bigram[b], out[at])
-        return out
-
+        if len(at):
+            b, before = _find(self.bigrams, pair), w[at - 1]
+            p[:, at] = self.own[:, b] + self.own_weight[:, before] * (self.shared[b] + self.shared_weight[before] * p[:, at])
+        return np.log(p)
 
-def _once(which: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
-    """For each of n kinds, in how many different texts it occurs."""
-    pairs = np.unique((texts.astype(np.int64) * max(n, 1)) + which)
-    return np.bincount(pairs % max(n, 1), minlength=n)[:n] if len(pairs) else np.zeros(n, np.int64)
+    def per_word(self, h: np.ndarray, own: np.ndarray) -> np.ndarray:
+        toxic, ordinary = self.logs(h, own)
+        return toxic - ordinary
 
 
 def train(h: np.ndarray, own: np.ndarray, toxic: np.ndarray, config: Config) -> Ratios:
-    """Both models from hashed words; ``toxic`` is each word's class."""
+    """Both models from hashed words; ``own`` is each word's text and ``toxic`` its class."""
     words, index = np.unique(h, return_inverse=True)
     at, pair = _pairs(h, own)
     bigrams, first, which = np.unique(pair, return_index=True, return_inverse=True)
-    left, right = index[at - 1][first], index[at][first]
-    # Different words before each word, over both classes: the shared backoff counts. They stop at
-    # the discount: what lies beyond it stays with the classes' own counts.
-    shared = np.append(np.minimum(np.bincount(right, minlength=len(words)), config.discount) + 0.5, 0.5)
-    shared /= shared.sum()
-    unigram, counts = [], []
-    for c in (True, False):
-        mine = toxic == c
-        n = np.append(_once(index[mine], own[mine], len(words)), 0)
-        unigram.append((np.maximum(n - config.discount, 0) + np.minimum(n, config.discount).sum() * shared) / max(1, n.sum()))
-        mine = toxic[at] == c
-        counts.append(_once(which[mine], own[at][mine], len(bigrams)))
-    discount = config.discount * config.bigram_factor
-    after = [np.maximum(np.bincount(left, weights=n, minlength=len(words)), 1) for n in counts]
-    given = np.bincount(left, weights=sum(np.minimum(n, discount) for n in counts), minlength=len(words)) / np.maximum(sum(after), 1)
-    own_part = [np.maximum(n - discount, 0) for n in counts]
-    known = np.flatnonzero(own_part[0] + own_part[1])
-    seen = [o[known] / a[left[known]] + np.maximum(given[left[known]], 1e-3) * p[right[known]] for o, a, p in zip(own_part, after, unigram, strict=True)]
-    log = lambda pair: (np.log(pair[0]) - np.log(pair[1])).astype(np.float32)
-    return Ratios(bigrams[known], np.append(log(seen), np.float32(0)), words, log(unigram))
-
-
-def features(r: Ratios, h: np.ndarray, own: np.ndarray, n: int, windows: tuple[int, ...]) -> np.ndarray:
-    """Per text: the mean ratio, and the highest mean ratio of each size of window; NaN without
-    words. A shorter text is its only window, filled up with words that say nothing."""
-    out = np.full((n, 1 + len(windows)), np.nan)
+    left, right, n = index[at - 1][first], index[at][first], len(words)
+    counts = np.stack([_once(which[toxic[at] == c], own[at][toxic[at] == c], len(bigrams)) for c in (True, False)])
+    continued = np.bincount(right, minlength=n)
+    lowest = _level(continued, modified_discounts(continued), np.full(n + 1, 1 / (n + 1)))
+    shared, shared_weight = _bigrams(counts.sum(axis=0), left, n, modified_discounts(counts.sum(axis=0)))
+    given = np.array([0.0, *config.discounts])
+    word = np.stack([_level(np.bincount(right[c > 0], minlength=n), given, lowest) for c in counts])
+    parts = [_bigrams(c, left, n, given) for c in counts]
+    return Ratios(words, word, bigrams, np.stack([p[0] for p in parts]).astype(np.float32), np.stack([p[1] for p in parts]), shared.astype(np.float32), shared_weight)
+
+
+def features(r: Ratios, h: np.ndarray, own: np.ndarray, n: int, phrase: int) -> np.ndarray:
+    """Per text: the mean ratio, and the highest mean ratio of a phrase; NaN without words. A shorter
+    text is its only phrase, filled up with words that say nothing."""
+    out = np.full((n, 2), np.nan)
     if not len(h):
         return out
     total = np.concatenate([[0.0], np.cumsum(r.per_word(h, own), dtype=np.float64)])
     texts, start, size = np.unique(own, return_index=True, return_counts=True)
     end = start + size
     out[texts, 0] = (total[end] - total[start]) / size
-    i, low, high = np.arange(len(h)), np.repeat(start, size), np.repeat(end, size)
-    for k, window in enumerate(windows):
-        stop = np.minimum(i + window, high)
-        begin = np.maximum(low, stop - window)
-        out[texts, 1 + k] = np.maximum.reduceat((total[stop] - total[begin]) / window, start)
+    low, stop = np.repeat(start, size), np.minimum(np.arange(len(h)) + phrase, np.repeat(end, size))
+    begin = np.maximum(low, stop - phrase)
+    out[texts, 1] = np.maximum.reduceat((total[stop] - total[begin]) / phrase, start)
     return out
 
 
@@ -151,53 +184,59 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -
     return b
 
 
+def curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """logistic(), where no feature counts against label 1: one that would is left out."""
+    use = np.arange(x.shape[1])
+    while True:
+        b = logistic(x[:, use], y, w)
+        if not len(use) or (b[:-1] >= 0).all():
+            out = np.zeros(x.shape[1] + 1)
+            out[use], out[-1] = b[:-1], b[-1]
+            return out
+        use = np.delete(use, int(b[:-1].argmin()))
+
+
 @dataclass
 class Model:
     share: float
     ratios: Ratios | None
     curve: np.ndarray | None
-    windows: tuple[int, ...]
+    phrase: int
 
     def score(self, texts: pa.Array) -> np.ndarray:
         out = np.full(len(texts), self.share)
         if self.ratios is None:
             return out
         for t in K.lowered_runs(texts):
-            x = features(self.ratios, *tokens(t), len(t), self.windows)
+            x = features(self.ratios, *tokens(t), len(t), self.phrase)
             has = ~np.isnan(x[:, 0])
-            z = np.column_stack([_squash(x[has]), np.ones(has.sum())]) @ self.curve
+            z = np.column_stack([x[has], np.ones(has.sum())]) @ self.curve
             out[t.first : t.first + len(t)][has] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return out
 
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    """Bound what one ratio can say."""
-    return np.clip(x, -1, 6)
-
-
 def learn(docs: DataFrame, labels: DataFrame, config: Config = Config(), text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
     """Learn from the texts of ``docs`` and the labels of ``labels``, which share ``key``. Labels are
     counted over all rows; the sample of keys is drawn before any text is read and its bound lets it
-    be a broadcast, so that no text is shuffled."""
+    be a broadcast, so that only texts of the sample are shuffled."""
     known = labels.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).filter("key is not null and label in (0, 1)")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     total = sum(sizes.values())
-    share = sizes.get(1, 0) / total if total else 0.0
-    model = Model(share, None, None, config.windows)
+    model = Model(sizes.get(1, 0) / total if total else 0.0, None, None, config.phrase)
     if len(sizes) < 2:
         return model
-    draw = F.pmod(F.xxhash64("key", F.lit("toxicity sample")), F.lit(1_000_000)) / 1_000_000
+    draw = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1_000_000)) / 1_000_000
+    below = lambda part: F.when(F.col("label") == 1, part[1]).otherwise(part[0])
     part = {c: min(1.0, config.per_class / n) for c, n in sizes.items()}
-
-    def sample(part: dict[int, float]) -> DataFrame:
-        drawn = known.filter(draw < F.when(F.col("label") == 1, part[1]).otherwise(part[0]))
-        texts = docs.select(F.col(f"`{key}`").cast("string").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-        return texts.join(F.broadcast(drawn), "key")  # about 2 * per_class keys
-
-    chars = {r["label"]: r["chars"] for r in sample(part).groupBy("label").agg(F.sum(F.length("text")).alias("chars")).collect()}
-    part = {c: p * min(1.0, config.chars / max(1, chars.get(c, 0))) for c, p in part.items()}
-    got = sample(part).toArrow()
-    got = got.sort_by([("key", "ascending"), ("label", "ascending")]).combine_chunks()
+    drawn = known.filter(draw("key", F.lit("toxicity sample")) < below(part)).distinct()  # about 2 * per_class keys
+    texts = docs.select(F.col(f"`{key}`").cast("string").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(drawn), "key").select("text", "label").dropDuplicates()
+    found = {r["label"]: r for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+    # Ids that repeat may bring more texts than were drawn: those are drawn by their text.
+    bound = lambda r: min(1.0, config.chars / max(1, r["chars"]), 2 * config.per_class / r["n"])
+    again = {c: bound(found[c]) if c in found else 1.0 for c in (0, 1)}
+    got = sample.filter(draw("text", F.lit("toxicity text")) < below(again)).toArrow()
+    got = got.sort_by([("text", "ascending"), ("label", "ascending")]).combine_chunks()
     h, own = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for t in K.lowered_runs(got.column("text").combine_chunks()):
         th, to = tokens(t)
@@ -213,18 +252,18 @@ def learn(docs: DataFrame, labels: DataFrame, config: Config = Config(), text: s
         np.add.at(digest, own, K.mix(h))
     text_of = np.unique(digest, return_inverse=True)[1]
     fold = (K.mix(digest) % U(config.folds)).astype(np.int64)
-    x = np.full((len(y), 1 + len(config.windows)), np.nan)
+    x = np.full((len(y), 2), np.nan)
     for f in range(config.folds):
         inside = fold[own] == f
         if inside.any() and not inside.all():
             part_model = train(h[~inside], text_of[own[~inside]], y[own][~inside], config)
-            found = features(part_model, h[inside], own[inside], len(y), config.windows)
-            x = np.where(np.isnan(found), x, found)
+            out = features(part_model, h[inside], own[inside], len(y), config.phrase)
+            x = np.where(np.isnan(out), x, out)
     has = ~np.isnan(x[:, 0])
     if not has.any():
         return model
-    weight = np.where(y, 1 / part[1], 1 / part[0])
-    model.curve = logistic(_squash(x[has]), y[has].astype(float), weight[has] / weight[has].mean())
+    weight = np.where(y, 1 / (part[1] * again[1]), 1 / (part[0] * again[0]))
+    model.curve = curve(x[has], y[has].astype(float), weight[has] / weight[has].mean())
     model.ratios = train(h, text_of[own], y[own], config)
     return model
 

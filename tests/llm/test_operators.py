@@ -245,6 +245,87 @@ def test_toxicity_held_out(spark, tmp_path):
     assert sum(p for t, p in held if t) > 0.9 * sum(t for t, _ in held)
 
 
+def brute_kneser_ney(texts, labels, given):
+    """log p of a word after another, or after none, in each class; plain dictionaries."""
+    n2 = {c: collections.Counter(p for t in {t for t, y in zip(texts, labels, strict=True) if y == c} for p in set(zip(t, t[1:], strict=False))) for c in (1, 0)}
+    both = n2[1] + n2[0]
+    vocabulary = {w for t in texts for w in t}
+    cont = {c: collections.Counter(w for _, w in n) for c, n in (*n2.items(), ("both", both))}
+    spread = collections.Counter(min(v, 5) for v in cont["both"].values()), collections.Counter(min(v, 5) for v in both.values())
+
+    def modified(n):
+        if not all(n[k] for k in range(1, 5)):
+            return [0, 0.75, 1.5, 2.25]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [0, *[min(max(k - (k + 1) * y * n[k + 1] / n[k], 0), k) for k in (1, 2, 3)]]
+
+    def level(counts, w, d, lower):
+        total = sum(counts.values())
+        if not total:
+            return lower
+        n = counts.get(w, 0)
+        return (n - d[min(n, 3)]) / total + sum(d[min(v, 3)] for v in counts.values()) / total * lower
+
+    def log(c, before, w):
+        word = level(cont[c], w, given, level(cont["both"], w, modified(spread[0]), 1 / (len(vocabulary) + 1)))
+        if before is None:
+            return np.log(word)
+        after = lambda n: {b: k for (a, b), k in n.items() if a == before}
+        return np.log(level(after(n2[c]), w, given, level(after(both), w, modified(spread[1]), word)))
+
+    return log
+
+
+def test_toxicity_model_is_kneser_ney():
+    import pyarrow as pa
+
+    rng = random.Random(40)
+    words = [f"w{i}" for i in range(30)]
+    texts = [tuple(rng.choice(words[: 8 + i % 22]) for _ in range(rng.randint(1, 30))) for i in range(60)]
+    texts += texts[:5]
+    labels = [i % 3 == 0 for i in range(60)] + [i % 3 == 0 for i in range(5)]
+    named = sorted(set(texts))
+    (t,) = K.lowered_runs(pa.array([" ".join(x) for x in texts]))
+    h, own = toxicity.tokens(t)
+    text_of = np.array([named.index(x) for x in texts])
+    model = toxicity.train(h, text_of[own], np.array(labels)[own], toxicity.Config())
+    log = brute_kneser_ney(texts, [int(y) for y in labels], [0, *toxicity.Config().discounts])
+    probe = ["w1", "new", "w3", "w29", "w2", "w1", "w1", "other", "w25"]
+    (t,) = K.lowered_runs(pa.array([" ".join(probe)]))
+    got = model.logs(*toxicity.tokens(t))
+    for i, w in enumerate(probe):
+        before = probe[i - 1] if i else None
+        assert got[:, i] == pytest.approx([log(c, before, w) for c in (1, 0)], rel=1e-5)
+    ratio = got[0] - got[1]
+    x = toxicity.features(model, *toxicity.tokens(t), 1, 3)[0]
+    assert x == pytest.approx([ratio.mean(), max(ratio[i : i + 3].mean() for i in range(len(probe) - 2))])
+    for known in ("w1", "w20"):  # probabilities add up to one
+        (t,) = K.lowered_runs(pa.array([f"{known} {w}" for w in [*sorted({w for x in texts for w in x}), "unheard"]]))
+        p = np.exp(model.logs(*toxicity.tokens(t))[:, 1::2]).sum(axis=1)
+        assert p == pytest.approx([1, 1], rel=1e-4)
+
+
+def test_toxicity_of_real_tables(spark):
+    """Both length-normalised ratios count for toxicity, and held-out texts are told apart."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    seen = labels.filter(common.hashed_id(F.col("doc_id")) % 4 != 2)
+    model = toxicity.learn(spark.read.parquet(f"{d}/documents.parquet"), seen)
+    assert (model.curve[:2] >= 0).all() and model.curve[:2].sum() > 1
+
+
+def test_toxicity_repeated_ids(spark, tmp_path):
+    """One id on many rows brings no more texts to the driver than the sample's bound; names may clash."""
+    docs = spark.range(3000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("text number w"), "id").alias("text")).unionByName(spark.createDataFrame([(2, "vile scoundrel"), (2, "vile scoundrel")], "doc_id int, text string"))
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1)], "doc_id int, toxic int")
+    model = toxicity.learn(docs, labels, toxicity.Config(per_class=50))
+    assert len(model.ratios.words) < 250
+    out = toxicity.score(docs.withColumn("score", F.lit("x")).withColumn("predicted", F.lit("y")), model)
+    assert out.columns == ["doc_id", "score", "predicted"] and out.count() == 3002
+    empty = save(spark, tmp_path, documents=([], DOCS), labels=([], "doc_id long, quality int, toxic int"))
+    assert toxicity.query(spark, empty).count() == 0
+
+
 @pytest.mark.parametrize("labels", [[], [(0, 1, 0), (1, 1, 0)], [(0, 1, 1)], [(0, 1, None), (None, 1, 1)]])
 def test_toxicity_without_both_classes(spark, tmp_path, labels):
     d = save(spark, tmp_path, documents=documents(["a b", None, "c"]), labels=(labels, "doc_id long, quality int, toxic int"))
