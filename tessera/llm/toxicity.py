@@ -1,13 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney word models.
 
 Two interpolated bigram models, of toxic and of ordinary text, are compared on every text. A class's
-bigrams back off to bigrams counted over both classes, those to the class's continuation counts (the
-number of different words before a word), and those to the continuation counts of both classes, which
-share a last uniform level for words unknown to both. So a rare expression is smoothed by counts that
-both classes share, and says little. Shared levels give up the modified Kneser-Ney discounts, estimated
-from counts of counts; a class's levels give up their upper bounds, ``Config.discounts``: what one to
-three texts of a class hold is left to the shared counts. Expressions are counted once for each
-different text.
+bigrams back off to bigrams of both classes, those to the class's continuation counts (the number of
+different words before a word), those to continuation counts of both classes, and those to a uniform
+level for words unknown to both. As Kneser-Ney has it, a level that two classes share counts what they
+give up, not all they have: an expression counts there for each class up to the class's discount, so
+that one which a single class knows well stays that class's own. What only a
+few texts of a class hold (``Config.rare`` of them, three at least) is given up whole, so a rare
+expression is smoothed by counts that both classes share, and says little; the shared levels themselves give up the modified Kneser-Ney discounts, estimated
+from counts of counts. Expressions are counted once for each different text.
 
 The log-likelihood ratio is normalised by length: over the whole text, and over phrases of
 ``Config.phrase`` words, of which the highest counts, so that a short passage is found in a long
@@ -45,8 +46,8 @@ U = K.U
 class Config:
     per_class: int = 4000
     chars: int = 6_000_000
-    #: What class counts of one, two, and three or more texts give up.
-    discounts: tuple[float, float, float] = (1.0, 2.0, 3.0)
+    #: The share of a class's texts that an expression must exceed to be the class's own.
+    rare: float = 0.004
     phrase: int = 3
     folds: int = 4
 
@@ -88,8 +89,14 @@ def modified_discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0.0, *[np.clip(k - (k + 1) * y * n[k + 1] / n[k], 0.0, k) for k in (1, 2, 3)]])
 
 
+def class_discounts(own: np.ndarray, toxic: np.ndarray, config: Config) -> np.ndarray:
+    """What class counts of 0, 1, 2, ... texts give up; the last stands for all higher ones."""
+    texts = min(len(np.unique(own[toxic])), len(np.unique(own[~toxic])))
+    return np.arange(max(3, round(config.rare * texts)) + 1, dtype=float)
+
+
 def _given(counts: np.ndarray, discounts: np.ndarray) -> np.ndarray:
-    return discounts[np.minimum(counts, 3).astype(np.int64)]
+    return discounts[np.minimum(counts, len(discounts) - 1).astype(np.int64)]
 
 
 def _level(counts: np.ndarray, discounts: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -145,11 +152,12 @@ def train(h: np.ndarray, own: np.ndarray, toxic: np.ndarray, config: Config) ->
     bigrams, first, which = np.unique(pair, return_index=True, return_inverse=True)
     left, right, n = index[at - 1][first], index[at][first], len(words)
     counts = np.stack([_once(which[toxic[at] == c], own[at][toxic[at] == c], len(bigrams)) for c in (True, False)])
-    continued = np.bincount(right, minlength=n)
-    lowest = _level(continued, modified_discounts(continued), np.full(n + 1, 1 / (n + 1)))
-    shared, shared_weight = _bigrams(counts.sum(axis=0), left, n, modified_discounts(counts.sum(axis=0)))
-    given = np.array([0.0, *config.discounts])
-    word = np.stack([_level(np.bincount(right[c > 0], minlength=n), given, lowest) for c in counts])
+    continued = np.stack([np.bincount(right[c > 0], minlength=n) for c in counts])
+    given = class_discounts(own, toxic, config)
+    both, pairs = _given(continued, given).sum(axis=0), _given(counts, given).sum(axis=0)
+    lowest = _level(both, modified_discounts(both), np.full(n + 1, 1 / (n + 1)))
+    shared, shared_weight = _bigrams(pairs, left, n, modified_discounts(pairs))
+    word = np.stack([_level(c, given, lowest) for c in continued])
     parts = [_bigrams(c, left, n, given) for c in counts]
     return Ratios(words, word, bigrams, np.stack([p[0] for p in parts]).astype(np.float32), np.stack([p[1] for p in parts]), shared.astype(np.float32), shared_weight)
 

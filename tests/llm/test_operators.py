@@ -248,9 +248,11 @@ def test_toxicity_held_out(spark, tmp_path):
 def brute_kneser_ney(texts, labels, given):
     """log p of a word after another, or after none, in each class; plain dictionaries."""
     n2 = {c: collections.Counter(p for t in {t for t, y in zip(texts, labels, strict=True) if y == c} for p in set(zip(t, t[1:], strict=False))) for c in (1, 0)}
-    both = n2[1] + n2[0]
+    left_over = lambda a, b: {k: given[min(a.get(k, 0), 3)] + given[min(b.get(k, 0), 3)] for k in {*a, *b}}
+    both = left_over(n2[1], n2[0])
     vocabulary = {w for t in texts for w in t}
-    cont = {c: collections.Counter(w for _, w in n) for c, n in (*n2.items(), ("both", both))}
+    cont = {c: collections.Counter(w for _, w in n) for c, n in n2.items()}
+    cont["both"] = left_over(cont[1], cont[0])
     spread = collections.Counter(min(v, 5) for v in cont["both"].values()), collections.Counter(min(v, 5) for v in both.values())
 
     def modified(n):
@@ -264,7 +266,7 @@ def brute_kneser_ney(texts, labels, given):
         if not total:
             return lower
         n = counts.get(w, 0)
-        return (n - d[min(n, 3)]) / total + sum(d[min(v, 3)] for v in counts.values()) / total * lower
+        return (n - d[min(int(n), 3)]) / total + sum(d[min(int(v), 3)] for v in counts.values()) / total * lower
 
     def log(c, before, w):
         word = level(cont[c], w, given, level(cont["both"], w, modified(spread[0]), 1 / (len(vocabulary) + 1)))
@@ -289,7 +291,7 @@ def test_toxicity_model_is_kneser_ney():
     h, own = toxicity.tokens(t)
     text_of = np.array([named.index(x) for x in texts])
     model = toxicity.train(h, text_of[own], np.array(labels)[own], toxicity.Config())
-    log = brute_kneser_ney(texts, [int(y) for y in labels], [0, *toxicity.Config().discounts])
+    log = brute_kneser_ney(texts, [int(y) for y in labels], [0, 1, 2, 3])
     probe = ["w1", "new", "w3", "w29", "w2", "w1", "w1", "other", "w25"]
     (t,) = K.lowered_runs(pa.array([" ".join(probe)]))
     got = model.logs(*toxicity.tokens(t))
