@@ -2,8 +2,9 @@
 
 Writing: records of one task fill archives of bounded size. Each archive trains a small dictionary
 on a sample of its own records, stores it in a skippable frame and compresses every record as a
-frame of its own. Files are written under a temporary name and then moved, so a repeated task
-leaves one whole file. Reading: the dictionary is loaded from the leading frame, frame bounds are
+frame of its own. Each attempt of a task writes files of its own names; the manifest, a stored table that
+holds the files of the attempts that Spark committed, is what makes them part of the result, so a repeated
+or failed task leaves nothing that is read. Reading: the dictionary is loaded from the leading frame, frame bounds are
 found from the block headers, each frame is decoded by itself, and headers, lengths, digests and
 frame checksums are validated; a damaged archive raises ValueError.
 
@@ -16,9 +17,9 @@ a null or unsafe target address is written percent-encoded.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import scratch_path, strings, table
+from tessera.llm.common import materialize, scratch_path, strings, table
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -131,6 +132,7 @@ def read_records(data: bytes) -> Iterator[bytes]:
         at = end
 
 
+REQUIRED = {"WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Block-Digest", "Content-Length"}
 _URN = re.compile(r"<urn:page:(-?\d*)>")
 
 
@@ -141,8 +143,11 @@ def parse(raw: bytes) -> tuple:
     if not sep or lines[0].encode() != VERSION:
         raise ValueError("not a WARC record")
     fields = dict(x.split(": ", 1) for x in lines[1:])
-    block = rest[: int(fields["Content-Length"])]
-    if rest[len(block) :] != b"\r\n\r\n" or len(block) != int(fields["Content-Length"]):
+    if missing := REQUIRED.difference(fields):
+        raise ValueError(f"headers are missing: {sorted(missing)}")
+    length = int(fields["Content-Length"])
+    block = rest[: max(length, 0)]
+    if rest[len(block) :] != b"\r\n\r\n" or len(block) != length:
         raise ValueError("the block's length differs from Content-Length")
     if fields["WARC-Block-Digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
         raise ValueError("the block's digest differs")
@@ -175,25 +180,24 @@ def mark_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
 
 
 def write_archives(marked: DataFrame, folder: str) -> DataFrame:
-    """Write archives into ``folder`` (any address that Spark and pyarrow both open); the frame
-    returned has one row per archive: path, records, bytes. Each evaluation writes again."""
+    """Write archives into ``folder`` (any address that Spark and pyarrow both open) and store the
+    manifest: one row per archive with its file's name, records and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
+        attempt = uuid.uuid4().hex
         held: list[bytes] = []
         size = made = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, made
-            name = f"{root}/part-{context.partitionId():06d}-{made:04d}.warc.zst"
+            name = f"part-{context.partitionId():06d}-{made:04d}-{attempt}.warc.zst"
             data = build_archive(held)
-            trial = f"{name}.{context.taskAttemptId()}.{os.getpid()}"
-            with store.open_output_stream(trial) as f:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(data)
-            store.move(trial, name)
-            out = pa.RecordBatch.from_pydict({"path": [name], "records": pa.array([len(held)], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
+            out = pa.RecordBatch.from_pydict({"name": [name], "records": pa.array([len(held)], pa.int64()), "bytes": pa.array([len(data)], pa.int64())})
             held, size, made = [], 0, made + 1
             return out
 
@@ -208,32 +212,51 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
         if held:
             yield flush()
 
-    return marked.select("page_id", "url", "html", "digest", "size", "refers_to").mapInArrow(run, "path string, records long, bytes long")
+    rows = marked.select("page_id", "url", "html", "digest", "size", "refers_to")
+    return materialize(rows.mapInArrow(run, "name string, records long, bytes long"), "warc-manifest")
+
+
+def _decoded(contents: Iterator[bytes], payloads: bool) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
+    names = ROW.names if payloads else ROW.names[:-1]
+    for content in contents:
+        columns = list(zip(*map(parse, read_records(content)), strict=True)) or [()] * len(ROW)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind, _ in zip(columns, kinds, names, strict=False)], names=names)
+
+
+def _schema(payloads: bool) -> T.StructType:
+    return ROW if payloads else T.StructType(ROW.fields[:-1])
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """Every record of the archives in a folder, as ROW. An archive is bounded and read whole by
+    """Every record of all archives in a folder, as ROW. An archive is bounded and read whole by
     one task; ``payloads`` False validates payloads but leaves them out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    schema = ROW if payloads else T.StructType(ROW.fields[:-1])
-    arrow = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("target", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())][: len(schema)])
+    return files.mapInArrow(lambda batches: _decoded((x.as_py() for b in batches for x in b.column(0)), payloads), _schema(payloads))
+
+
+def read_manifest(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """Every record of the archives that a manifest names; their numbers must agree with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
         for b in batches:
-            for content in b.column(0):
-                rows = [parse(r) for r in read_records(content.as_py())]
-                columns = list(zip(*rows, strict=True)) or [()] * len(ROW)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=False)], schema=arrow)
+            for row in b.to_pylist():
+                with store.open_input_stream(f"{root}/{row['name']}", compression=None) as f:
+                    content = f.read()
+                (out,) = _decoded(iter([content]), payloads)
+                if (len(content), out.num_rows) != (row["bytes"], row["records"]):
+                    raise ValueError(f"{row['name']} differs from its manifest")
+                yield out
 
-    return files.mapInArrow(run, schema)
+    return manifest.repartition("name").mapInArrow(run, _schema(payloads))
 
 
 def archive_pages(pages: DataFrame, folder: str, least: int = 100) -> DataFrame:
     """Write all pages as archives into ``folder`` and return their records, read back."""
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
-    write_archives(mark_revisits(pages, least), folder).write.format("noop").mode("overwrite").save()
-    return read_archives(pages.sparkSession, folder, payloads=False)
+    return read_manifest(write_archives(mark_revisits(pages, least), folder), folder, payloads=False)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
