@@ -10,11 +10,14 @@ all annuli that may hold something are searched next, and there the search stops
 
 Pivots come from a bounded sample; every vector is indexed. Blocks grow with the table, so that
 their directory stays below ``Config.directory`` rows and may be broadcast. Blocks are equal runs of
-a range partitioning, so a vector that a third of all rows repeat is split over many of them.
+a range partitioning whose last key numbers the rows, so a vector, or a whole row, that a third of all
+rows repeat is split over many of them.
 
 Defined cases: rows with a null id, and vectors that are null or hold null or non-finite components,
-take no part. Rows repeated as a whole count once. A shorter vector counts as filled up with zeros.
-Candidates with a query's own id are left out. Fewer candidates than k: all of them.
+take no part. Every other row is a candidate, repeated rows too, each with a rank of its own; rows that
+repeat a query are one query. A shorter vector counts as filled up with zeros. Candidates with a query's
+own id are left out. Fewer candidates than k: all of them. Components beyond 2**62 count as 2**62, and
+scores beyond the range of a long as its bounds, where they tie.
 """
 
 from __future__ import annotations
@@ -49,6 +52,11 @@ def quantised(vector: Column, factor: int = 1024) -> Column:
     return F.when(sound, F.transform(vector, lambda x: F.floor(x.cast("double") * factor).cast("long")))
 
 
+LARGEST = 1 << 62
+#: Below every score.
+NONE = np.iinfo(np.int64).min
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Integer vectors as one matrix, filled up with zeros."""
     if isinstance(column, pa.ChunkedArray):
@@ -56,7 +64,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     n = column.value_lengths().to_numpy().astype(np.int64)
     flat = column.flatten().to_numpy()
     out = np.zeros((len(n), int(n.max(initial=0))), np.int64)
-    out[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
+    out[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = np.clip(flat, -LARGEST, LARGEST)
     return out
 
 
@@ -65,12 +73,12 @@ def _widen(x: np.ndarray, dim: int) -> np.ndarray:
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of all rows; doubles are exact below 2**53."""
+    """Exact integer products of all rows, held within longs; doubles are exact below 2**53."""
     dim = max(a.shape[1], b.shape[1])
     a, b = _widen(a, dim), _widen(b, dim)
     if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * dim < 2.0**53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return (a.astype(object) @ b.T.astype(object)).astype(np.int64)
+    return np.clip(a.astype(object) @ b.T.astype(object), NONE + 1, np.iinfo(np.int64).max).astype(np.int64)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -110,10 +118,10 @@ class Pivots:
 
 
 def build(vectors: DataFrame, config: Config) -> tuple[DataFrame, Pivots, np.ndarray]:
-    """The index of (vec_id, v): a stored table of blocks, the pivots and the blocks' directory."""
+    """The index of (row, vec_id, v): a stored table of blocks, the pivots and the blocks' directory."""
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     facts = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).first()
-    drawn = vectors.orderBy(F.xxhash64("vec_id", F.lit("pivots")), "vec_id", "v").limit(config.sample).select("v").toArrow()
+    drawn = vectors.orderBy(F.xxhash64("vec_id", F.lit("pivots")), "vec_id", "row").limit(config.sample).select("v").toArrow()
     pivots = Pivots.choose(_matrix(drawn.column("v")), float(facts["m"] or 0), config.pivots)
     size = max(config.block, -(-2 * facts["n"] // config.directory))
 
@@ -122,10 +130,10 @@ def build(vectors: DataFrame, config: Config) -> tuple[DataFrame, Pivots, np.nda
             if b.num_rows:
                 d = pivots.distances(_matrix(b.column(1)), query=False)
                 near = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), pa.array(d[np.arange(len(d)), near]), *b.columns], names=["pivot", "dist", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), pa.array(d[np.arange(len(d)), near]), *b.columns], names=["pivot", "dist", "vec_id", "v", "row"])
 
-    keyed = vectors.select("vec_id", "v").mapInArrow(key, "pivot int, dist double, vec_id long, v array<long>")
-    ordered = keyed.repartitionByRange("pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id")
+    keyed = vectors.select("vec_id", "v", "row").mapInArrow(key, "pivot int, dist double, vec_id long, v array<long>, row long")
+    ordered = keyed.repartitionByRange("pivot", "dist", "row").sortWithinPartitions("pivot", "dist", "row")
     names = ["block", "pivot", "low", "high", "n", "ids", "data"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +182,12 @@ def _bounds(pivots: Pivots, directory: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.maximum(directory[:, 2] - d, d - directory[:, 3]))
 
 
-ROUTED = pa.schema([("block", pa.int64()), ("n_queries", pa.int32()), ("query_ids", pa.binary()), ("least", pa.binary()), ("queries", pa.binary())])
-NONE = np.iinfo(np.int64).min
+def _slack(squares: np.ndarray | float) -> np.ndarray | float:
+    """What rounding may take from a distance of vectors with such squared norms."""
+    return 1e-6 * np.sqrt(squares) + 1e-6
 
 
+ROUTED = pa.schema([("block", pa.int64()), ("n_queries", pa.int32()), ("query_ids", pa.binary()), ("least", pa.binary()), ("queries", pa.binary())])
 def _route(queries: DataFrame, pivots: Pivots, directory: np.ndarray, config: Config, first: bool) -> DataFrame:
     """Rows (block, its queries): the nearest annuli of each query, or all others within its radius."""
     ids = queries.sparkSession.sparkContext.broadcast((pivots, directory))
@@ -195,8 +205,10 @@ def _route(queries: DataFrame, pivots: Pivots, directory: np.ndarray, config: Co
                 if first:
                     want = near
                 else:
-                    radius = np.sqrt(np.maximum((q.astype(float) ** 2).sum(axis=1) + pivots.largest - 2 * np.where(least == NONE, -np.inf, least.astype(float)), 0))
-                    want = ~near & (bound <= (radius * (1 + 1e-9) + 1e-6)[:, None])
+                    squares = (q.astype(float) ** 2).sum(axis=1) + pivots.largest
+                    bare = (least == NONE) | (np.abs(least.astype(float)) >= 2.0**62)  # no k-th score yet, or one at a bound
+                    radius = np.sqrt(np.maximum(squares - 2 * np.where(bare, -np.inf, least.astype(float)), 0))
+                    want = ~near & (bound <= (radius * (1 + 1e-9) + _slack(squares))[:, None])
                 out = []
                 for j in np.flatnonzero(want.any(axis=0)):
                     rows = want[:, j]
@@ -240,11 +252,12 @@ def _search(routed: DataFrame, index: DataFrame, k: int) -> DataFrame:
 def search(vectors: DataFrame, is_query: Column, config: Config = Config()) -> DataFrame:
     """query_id, rank, vec_id, score for (vec_id, v) with integer vectors."""
     spark = vectors.sparkSession
-    rows = materialize(vectors.filter("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v").dropDuplicates(), "vectors")
+    sound = vectors.filter("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v")
+    rows = materialize(sound.withColumn("row", F.monotonically_increasing_id()), "vectors")  # stored, so numbers stay
     index, pivots, directory = build(rows, config)
     if not len(directory):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    queries = rows.filter(is_query)
+    queries = materialize(rows.filter(is_query).select("vec_id", "v").dropDuplicates(), "queries")
     start = queries.withColumn("least", F.lit(NONE))
     near = materialize(_search(_route(start, pivots, directory, config, first=True), index, config.k), "near")
     ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -266,7 +279,7 @@ WITH v AS (
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
     SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-    FROM v AS q JOIN v AS c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+    FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 100 = 0) AS q JOIN v AS c ON c.vec_id <> q.vec_id
 )
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored

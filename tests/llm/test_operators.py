@@ -407,6 +407,19 @@ def test_warc_query(spark, tmp_path):
     assert warc.query(spark, save(spark, tmp_path / "e", pages=([], "page_id long, url string, html string"))).count() == 0
 
 
+def test_warc_repeated_task_is_read_once(spark, tmp_path):
+    """Files of an attempt that was not committed stay in the folder, and are not read."""
+    df = spark.createDataFrame([(i, "u", f"page {i} " * 30) for i in range(50)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/warc"
+    lost = warc.write_archives(warc.mark_revisits(df), folder)
+    kept = warc.write_archives(warc.mark_revisits(df), folder)
+    assert sorted(r["page_id"] for r in warc.read_manifest(kept, folder).collect()) == list(range(50))
+    assert warc.read_archives(spark, folder).count() == 100 and lost.count() == kept.count()
+    wrong = kept.withColumn("records", F.col("records") + 1)
+    with pytest.raises(Exception, match="differs from its manifest"):
+        warc.read_manifest(wrong, folder).collect()
+
+
 def test_warc_reader_rejects_damage():
     body = b"hello world" * 30
     records = [warc.record(i, "http://x/", body + bytes([65 + i % 26]) * i, hashlib.sha256(body + bytes([65 + i % 26]) * i).hexdigest(), len(body) + i, None) for i in range(200)]
@@ -421,6 +434,9 @@ def test_warc_reader_rejects_damage():
         flipped = bytearray(data)
         flipped[-20] ^= 0xFF
         [warc.parse(r) for r in warc.read_records(bytes(flipped))]
+    for header in (b"WARC-Type", b"WARC-Record-ID", b"WARC-Target-URI", b"WARC-Payload-Digest", b"WARC-Block-Digest", b"Content-Length"):
+        with pytest.raises(ValueError, match="missing"):
+            warc.parse(re.sub(rb"\r\n" + header + rb": [^\r]*", b"", records[3], count=1))
     for wrong in (records[3].replace(b"Content-Length: 333", b"Content-Length: 332", 1), records[3][:-2], records[3].replace(b"hello", b"jello", 1), b"x" + records[3]):
         with pytest.raises(ValueError):
             warc.parse(wrong)
@@ -463,20 +479,42 @@ def test_topk_equals_brute_force(spark, tmp_path):
     rng = np.random.default_rng(7)
     rows = [(i, rng.normal(0, 0.2, 8).astype(np.float32).tolist()) for i in range(700)]
     rows += [(1000 + i, [0.5] * 8) for i in range(300)]  # one vector repeated: ties
-    rows += [(2000, None), (2001, [0.1, None] + [0.0] * 6), (2002, [float("nan")] * 8), (2003, [float("inf")] * 8), (None, [0.1] * 8), (2100, [0.25] * 3), rows[0], (2004, [])]
+    rows += [(2000, None), (2001, [0.1, None] + [0.0] * 6), (2002, [float("nan")] * 8), (2003, [float("inf")] * 8), (None, [0.1] * 8), (2100, [0.25] * 3), rows[0], rows[7], rows[7], rows[7], (2004, [])]
     d = save(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>"))
+    assert topk_rows(topk.query(spark, d)) == brute_topk(rows)
+
+
+def topk_rows(df):
     out = collections.defaultdict(list)
-    for r in topk.query(spark, d).collect():
+    for r in df.collect():
         out[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    vectors = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            vectors[i] = [int(np.floor(1024 * float(np.float32(x)))) for x in v]
-    queries = [i for i in vectors if i % 100 == 0]
-    assert sorted(out) == sorted(queries)
-    for q in queries:
-        s = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=False)), i) for i, v in vectors.items() if i != q)[:10]
-        assert sorted(out[q]) == [(k + 1, i, -x) for k, (x, i) in enumerate(s)]
+    return {q: sorted(x) for q, x in out.items()}
+
+
+def brute_topk(rows):
+    """All rows are candidates, repeated ones too; equal query rows are one query."""
+    hold = lambda x, bound: max(-bound, min(bound, x))
+    sound = [(i, tuple(hold(int(np.floor(1024 * float(np.float32(x)))), 1 << 62) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = {}
+    for q, a in {(i, v) for i, v in sound if i % 100 == 0}:
+        s = sorted((-hold(sum(x * y for x, y in zip(a, v, strict=False)), (1 << 63) - 1), i) for i, v in sound if i != q)[:10]
+        out[q] = [(k + 1, i, -x) for k, (x, i) in enumerate(s)]
+    return out
+
+
+def test_topk_of_large_components(spark, tmp_path):
+    rng = np.random.default_rng(41)
+    rows = [(i, (rng.normal(0, 1, 4) * scale).astype(np.float32).tolist()) for i, scale in enumerate([4e6, 1e3, 1.0, 3e9, 1e30, 4e6, 4e6, 1e12] * 30)]
+    d = save(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>"))
+    assert topk_rows(topk.query(spark, d)) == brute_topk(rows)
+
+
+def test_topk_of_a_row_repeated_by_a_third(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("vec_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(9), F.lit(9))).otherwise(F.array(F.col("id") % 7, F.col("id") % 5)).alias("v"))
+    index = topk.build(df.withColumn("row", F.monotonically_increasing_id()), topk.Config(block=64))[0]
+    assert index.agg(F.max("n"), F.sum("n")).first()[:] == (64, 3000)
+    out = topk_rows(topk.search(df, F.col("vec_id") == 100, topk.Config(block=64)))
+    assert [x[1] for x in out[100]] == [5] * 10
 
 
 @pytest.mark.parametrize("rows", [[], [(100, [1.0])], [(100, [1.0]), (7, [2.0])]])
