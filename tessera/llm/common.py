@@ -18,9 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where the setting is absent."""
+    """The shared folder named by the session. Only a session of a single machine may go without: it
+    gets a temporary one. On a cluster, executors would write to folders that no other can see."""
     found = spark.conf.get(KEY, None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{KEY} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found
