@@ -7,7 +7,14 @@ aggregation of the vocabulary's bytes decodes the resulting ids. Texts are then
 their pieces with numpy. Nothing is shuffled, and memory holds one batch of texts plus a bounded
 dictionary of pieces.
 
-A null text counts as empty: no ids, no bytes. Repeated rows are encoded row by row.
+A piece longer than ``CHUNK`` bytes is cut into overlapping chunks, which are encoded alike and joined at a
+boundary that both have, where the two tokens that meet there, taken as a text, encode to themselves:
+ids are the encoding of a text exactly if that holds for each two neighbours, so the joined ids are
+those of the whole piece. Chunks that have no such boundary are encoded as one. The work of a long piece
+so grows with its length, not with its square.
+
+A null text counts as empty: no ids, no bytes. Repeated rows are encoded row by row. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +34,8 @@ from tessera.llm.common import strings, table
 
 #: Pieces the dictionary holds before it is emptied, pieces per DuckDB query, texts per output batch.
 KEPT, AT_ONCE, ROWS = 600_000, 40_000, 1000
+#: Characters of pieces that the dictionary holds; bytes of a chunk, and of its overlap with the next.
+HELD, CHUNK, OVERLAP = 64_000_000, 512, 64
 
 #: Token-position rows (a list's index is the position) join the merge table; the leftmost pair of
 #: minimum rank of each piece is contracted. A merged token's id is its rank. A piece without such a
@@ -35,9 +44,9 @@ ENCODE = """
 WITH RECURSIVE state(piece, ids, live) AS (
     SELECT piece, ids, true FROM todo
     UNION ALL
-    SELECT piece, CASE WHEN best IS NULL THEN ids ELSE ids[:(best & 16777215) - 1] || [(best >> 24)::INT] || ids[(best & 16777215) + 2:] END, best IS NOT NULL
+    SELECT piece, CASE WHEN best IS NULL THEN ids ELSE ids[:(best & 1099511627775) - 1] || [(best >> 40)::INT] || ids[(best & 1099511627775) + 2:] END, best IS NOT NULL
     FROM (SELECT piece, ids FROM state WHERE live) LEFT JOIN (
-        SELECT piece, min((m.merged::BIGINT << 24) | pos) AS best
+        SELECT piece, min((m.merged::BIGINT << 40) | pos) AS best
         FROM (SELECT piece, ids, unnest(range(1, len(ids))) AS pos FROM state WHERE live) AS token
         JOIN merges AS m ON m.pair = ((ids[pos]::BIGINT << 32) | ids[pos + 1])
         GROUP BY piece
@@ -78,6 +87,7 @@ class Engine:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._table("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int32())}))
         self._table("vocabulary", pa.table({"id": pa.array(list(known.values()), pa.int32()), "hex": [t.hex() for t in known]}))
+        self.token = {rank: token for token, rank in known.items()}
         self._clear()
 
     def _table(self, name: str, rows: pa.Table) -> None:
@@ -87,46 +97,77 @@ class Engine:
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
+        self.held = 0
         self.n_ids, self.n_bytes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.data = np.zeros(0, np.int32), np.zeros(0, np.uint8)
 
+    def _contracted(self, raw: list[bytes]) -> pa.ListArray:
+        """The ids of each byte string, by the recursive query."""
+        parts, start, size = [], 0, 0
+        for i, r in enumerate(raw):
+            size += 40 + len(r)
+            if size > 50 * AT_ONCE or i + 1 == len(raw):
+                parts.append(raw[start : i + 1])
+                start, size = i + 1, 0
+        found = [pa.array([], pa.list_(pa.int32()))]
+        for part in parts:
+            at = np.zeros(len(part) + 1, np.int32)
+            np.cumsum([len(r) for r in part], out=at[1:])
+            flat = np.array(self.byte, np.int32)[np.frombuffer(b"".join(part), np.uint8)]
+            self.db.register("todo", pa.table({"piece": pa.array(range(len(part)), pa.int32()), "ids": pa.ListArray.from_arrays(at, flat)}))
+            found.append(self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks())
+            self.db.unregister("todo")
+        return pa.concat_arrays(found)
+
+    def _joined(self, raw: bytes) -> list[int]:
+        """The ids of a long piece, from those of its chunks."""
+        starts = list(range(0, len(raw), CHUNK))
+        while True:
+            chunks = [raw[s : e + OVERLAP] for s, e in zip(starts, [*starts[1:], len(raw)], strict=True)]
+            ids = self._contracted(chunks).to_pylist()
+            ends = [s + np.cumsum([len(self.token[i]) for i in own]) for s, own in zip(starts, ids, strict=True)]
+            meets = []
+            for k, s in enumerate(starts[1:]):
+                common = np.intersect1d(ends[k], ends[k + 1][:-1])
+                i, j = np.searchsorted(ends[k], common), np.searchsorted(ends[k + 1], common) + 1
+                meets.append([(int(a), int(b), (ids[k][a], ids[k + 1][b])) for a, b in zip(i, j, strict=True)])
+            pairs = sorted({m[2] for own in meets for m in own})
+            sound = {p for p, got in zip(pairs, self._contracted([self.token[a] + self.token[b] for a, b in pairs]).to_pylist(), strict=True) if got == list(p)}
+            chosen = [next((m for m in own if m[2] in sound), None) for own in meets]
+            if all(chosen):
+                begin = [0, *[m[1] for m in chosen]]
+                stop = [*[m[0] + 1 for m in chosen], len(ids[-1])]
+                return [i for own, a, b in zip(ids, begin, stop, strict=True) for i in own[a:b]]
+            starts = [starts[0], *[s for s, m in zip(starts[1:], chosen, strict=True) if m]]
+
     def learn(self, pieces: list[str]) -> None:
         """Encode and decode pieces that are not in the dictionary yet."""
-        n_ids, n_bytes, ids, data = [self.n_ids], [self.n_bytes], [self.ids], [self.data]
-        cuts, size = [0], 0
-        for i, p in enumerate(pieces):
-            size += 40 + len(p)
-            if size > 50 * AT_ONCE:
-                cuts.append(i)
-                size = 0
-        for start, end in zip(cuts, [*cuts[1:], len(pieces)], strict=True):
-            raw = [p.encode() for p in pieces[start:end]]
-            if not raw:
-                continue
-            at = np.zeros(len(raw) + 1, np.int32)
-            np.cumsum([len(r) for r in raw], out=at[1:])
-            flat = np.array(self.byte, np.int32)[np.frombuffer(b"".join(raw), np.uint8)]
-            self.db.register("todo", pa.table({"piece": pa.array(range(len(raw)), pa.int32()), "ids": pa.ListArray.from_arrays(at, flat)}))
-            found = self.db.sql(ENCODE).to_arrow_table()
-            self.db.unregister("todo")
-            self.db.register("encoded", found)
-            text = self.db.sql(DECODE).to_arrow_table().column("hex").to_pylist()
+        if not pieces:
+            return
+        raw = [p.encode() for p in pieces]
+        lists = self._contracted([r if len(r) <= CHUNK else b"" for r in raw])
+        if any(long := [len(r) > CHUNK for r in raw]):
+            coded = [self._joined(r) if far else own for r, far, own in zip(raw, long, lists.to_pylist(), strict=True)]
+            lists = pa.array(coded, pa.list_(pa.int32()))
+        back: list[bytes] = []
+        for at in range(0, len(raw), AT_ONCE):
+            part = lists.slice(at, AT_ONCE)
+            self.db.register("encoded", pa.table({"piece": pa.array(range(len(part)), pa.int32()), "ids": part}))
+            back += [bytes.fromhex(x) for x in self.db.sql(DECODE).to_arrow_table().column("hex").to_pylist()]
             self.db.unregister("encoded")
-            lists = found.column("ids").combine_chunks()
-            n_ids.append(lists.value_lengths().to_numpy().astype(np.int64))
-            ids.append(lists.flatten().to_numpy().astype(np.int32))
-            back = [bytes.fromhex(x) for x in text]
-            n_bytes.append(np.array([len(b) for b in back], np.int64))
-            data.append(np.frombuffer(b"".join(back), np.uint8))
         base = len(self.place)
         self.place.update(zip(pieces, range(base, base + len(pieces)), strict=True))
-        self.n_ids, self.n_bytes, self.ids, self.data = map(np.concatenate, (n_ids, n_bytes, ids, data))
+        self.held += sum(map(len, raw))
+        self.n_ids = np.concatenate([self.n_ids, lists.value_lengths().to_numpy().astype(np.int64)])
+        self.ids = np.concatenate([self.ids, lists.flatten().to_numpy().astype(np.int32)])
+        self.n_bytes = np.concatenate([self.n_bytes, np.array([len(b) for b in back], np.int64)])
+        self.data = np.concatenate([self.data, np.frombuffer(b"".join(back), np.uint8)])
 
     def round_trip(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
         """The ids of each text, and the bytes that its ids stand for."""
         pieces = [self.find(t) for t in texts]
         new = {p for own in pieces for p in own}
-        if len(self.place) + len(new) > KEPT:
+        if len(self.place) + len(new) > KEPT or self.held > HELD:
             self._clear()
         self.learn(sorted(new.difference(self.place)))
         n = np.array([len(p) for p in pieces], np.int64)
