@@ -4,12 +4,15 @@ Bytes are embedded; filters of several widths run over fixed-length windows, eac
 over the window feeds a softmax over the learned languages. A text's probabilities are the mean of
 those of its windows, which cover the whole text, weighted by their bytes.
 
-Training takes a bounded sample of labelled rows: at most about ``Config.per_language`` texts of each
-language, chosen by a hash of the id, and from each at most ``Config.per_text`` windows spread evenly
-over the whole text. Language, source and id are never inputs of a prediction.
+Training takes a bounded sample of labelled rows: at most about ``Config.per_language`` texts of each of
+the ``Config.languages`` most frequent languages, chosen by a hash of id and text, and from each at most
+``Config.per_text`` windows spread evenly over the whole text; equal windows of a language count once.
+Language, source and id are never inputs of a prediction.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 1; without any labelled
-row every text is ``und`` with score 0. Repeated rows are predicted row by row.
+row every text is ``und`` with score 0. Repeated rows are predicted row by row; rows whose ids are null or
+repeat are drawn by their texts. Columns named lang_pred or score are replaced. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,9 +40,12 @@ class Config:
     embed: int = 8
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 16
+    languages: int = 512
     per_language: int = 600
     per_text: int = 4
+    #: Passes over the sample; more of them where they come to fewer steps.
     epochs: int = 5
+    steps: int = 400
     batch: int = 64
     rate: float = 4e-3
     seed: int = 7
@@ -111,8 +117,10 @@ class Network:
         c, rng = self.config, np.random.default_rng(self.config.seed + 1)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step, total = 0, c.epochs * -(-len(x) // c.batch)
-        for _ in range(c.epochs):
+        batches = -(-len(x) // c.batch)
+        epochs = max(c.epochs, -(-c.steps // batches))
+        step, total = 0, epochs * batches
+        for _ in range(epochs):
             order = rng.permutation(len(x))
             for i in range(0, len(x), c.batch):
                 rows = order[i : i + c.batch]
@@ -163,19 +171,20 @@ class Network:
 def learn(labelled: DataFrame, config: Config = Config(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> Network:
     """Train on rows with a text and a language; see the module's bounds on the sample."""
     rows = labelled.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).filter("text is not null and lang is not null")
-    counts = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect())
+    spark = labelled.sparkSession
+    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.languages).collect()
+    counts = sorted((r["lang"], r["count"]) for r in frequent)
     net = Network([k for k, _ in counts], config)
     if not counts:
         return net
-    draw = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
-    chosen: Column = F.lit(False)
-    for name, n in counts:
-        chosen = chosen | ((F.col("lang") == name) & (draw < config.per_language / n))
+    draw = F.pmod(F.xxhash64(F.col("key").cast("string"), "text", F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
+    share = spark.createDataFrame([(k, config.per_language / n) for k, n in counts], "lang string, share double")
+    drawn = rows.join(F.broadcast(share), "lang").filter(draw < F.col("share"))  # at most Config.languages rows
     # Only windows of the sampled texts reach the driver: a fixed number of bytes for each language.
     size = F.length("text")
     spread = F.transform(F.sequence(F.lit(0), F.lit(config.per_text - 1)), lambda i: F.substring("text", F.greatest(F.lit(0), F.floor((size - config.window) * i / max(config.per_text - 1, 1))).cast("int") + 1, F.lit(config.window)))
-    sample = rows.filter(chosen).select("key", "lang", F.array_distinct(spread).alias("parts")).collect()
-    sample.sort(key=lambda r: (str(r["key"]), r["lang"], r["parts"]))
+    sample = drawn.select("lang", F.array_distinct(spread).alias("parts")).dropDuplicates().collect()
+    sample.sort(key=lambda r: (r["lang"], r["parts"]))
     pairs = [(p, r["lang"]) for r in sample for p in r["parts"] if LETTER.search(p)]
     if not pairs:
         net.languages = []
