@@ -6,9 +6,10 @@ recovers the turns from the joined text. Texts and roles are escaped so that no
 occur inside them, and the escape is undone exactly.
 
 Defined cases: a null text or role counts as empty; turns are ordered by turn (null first), then
-role and text, so ties have one order; repeated rows are turns of their own; rows with a null
-conv_id form one conversation. A conversation that breaks the turn order is formatted too, with
-valid = false. A conversation is the unit of the result: its turns meet in one row.
+role and text, so ties have one order; repeated rows are turns of their own; each row with a null
+conv_id is a conversation of its own. A conversation that breaks the turn order is formatted too, with
+valid = false. Other columns are ignored. An empty table gives an empty result. A conversation is the
+unit of the result: its turns meet in one row, which bounds its size to that of a row.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ from tessera.llm.common import table
 
 @dataclass(frozen=True)
 class Template:
-    """``mark`` begins every control string; the escape puts a backslash inside it."""
+    """Control strings: start, role, after_role, text, end. ``start`` and ``end`` begin with ``mark``,
+    inside which the escape puts a backslash; ``after_role`` begins with it too, or is one character,
+    which the escape takes out of roles. Other templates are refused, as they could not be undone."""
 
+    mark: str = "<|"
     start: str = "<|im_start|>"
     after_role: str = "\n"
     end: str = "<|im_end|>\n"
@@ -42,28 +46,50 @@ class Template:
     )
     accepting: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self):
+        mark = self.mark
+        if len(mark) < 2 or "\\" in mark or mark[0] in mark[1:] or mark[1] == ".":
+            raise ValueError("a mark has two or more characters, no backslash, no dot as its second, and its first but once")
+        if not (self.start.startswith(mark) and self.end.startswith(mark)) or self.start == mark:
+            raise ValueError("start and end begin with the mark, and start goes on")
+        if not self.after_role.startswith(mark) and (len(self.after_role) != 1 or self.after_role in "\\." + mark):
+            raise ValueError("after_role begins with the mark or is one other character")
+        if self.after_role.startswith(self.start) or self.end.startswith(self.start):
+            raise ValueError("after_role and end do not begin with start")
+
 
 CHATML = Template()
 REJECTED = "rejected"
 
 
-def escape(c: Column) -> Column:
-    r"""Double every backslash, then cut ``<|`` by one: an odd run of backslashes stands between
-    ``<`` and ``|`` only where the escape put it."""
-    return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+def _cut(template: Template) -> str:
+    return template.mark[0] + "\\" + template.mark[1:]
+
+
+def escape(c: Column, template: Template = CHATML) -> Column:
+    r"""Double every backslash, then cut the mark by one: an odd run of backslashes stands behind the
+    mark's first character and before its second only where the escape put it."""
+    return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit(template.mark), F.lit(_cut(template)))
+
+
+def unescape(c: Column, template: Template = CHATML) -> Column:
+    return F.replace(F.replace(c, F.lit(_cut(template)), F.lit(template.mark)), F.lit("\\\\"), F.lit("\\"))
 
 
-def unescape(c: Column) -> Column:
-    return F.replace(F.replace(c, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
+def _dot(template: Template) -> str:
+    return template.mark[0] + "\\."
 
 
-def escape_role(c: Column) -> Column:
-    r"""As escape(); a newline, which ends the role, becomes ``<\.``."""
-    return F.replace(escape(c), F.lit("\n"), F.lit("<\\."))
+def escape_role(c: Column, template: Template = CHATML) -> Column:
+    r"""As escape(); a character that ends the role becomes the mark's first one and ``\.``."""
+    out = escape(c, template)
+    return out if template.after_role.startswith(template.mark) else F.replace(out, F.lit(template.after_role), F.lit(_dot(template)))
 
 
-def unescape_role(c: Column) -> Column:
-    return unescape(F.replace(c, F.lit("<\\."), F.lit("\n")))
+def unescape_role(c: Column, template: Template = CHATML) -> Column:
+    if not template.after_role.startswith(template.mark):
+        c = F.replace(c, F.lit(_dot(template)), F.lit(template.after_role))
+    return unescape(c, template)
 
 
 def final_state(roles: Column, template: Template) -> Column:
@@ -75,15 +101,16 @@ def final_state(roles: Column, template: Template) -> Column:
 
 def format_chats(rows: DataFrame, template: Template = CHATML) -> DataFrame:
     """One row per conversation: conv_id, segments (array of text, loss), formatted, state, valid."""
-    turns = rows.groupBy("conv_id").agg(
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    turns = rows.select("conv_id", "turn", "role", "text", alone.alias("alone")).groupBy("conv_id", "alone").agg(
         F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns")
     )
 
     def segments(turn: Column) -> Column:
         role, loss = turn["role"], turn["role"].isin(*template.loss_roles)
         part = lambda text, flag: F.struct(text.alias("text"), flag.alias("loss"))
-        head = F.concat(F.lit(template.start), escape_role(role), F.lit(template.after_role))
-        return F.array(part(head, F.lit(False)), part(escape(turn["text"]), loss), part(F.lit(template.end), F.lit(False)))
+        head = F.concat(F.lit(template.start), escape_role(role, template), F.lit(template.after_role))
+        return F.array(part(head, F.lit(False)), part(escape(turn["text"], template), loss), part(F.lit(template.end), F.lit(False)))
 
     made = turns.select(
         "conv_id",
@@ -101,15 +128,16 @@ def parse_chats(formatted: Column, template: Template = CHATML) -> Column:
         at = F.instr(piece, template.after_role)
         begin = at + F.lit(len(template.after_role))
         size = F.length(piece) - F.lit(len(template.end)) - begin + F.lit(1)
-        return F.struct(unescape_role(F.substring(piece, F.lit(1), at - F.lit(1))).alias("role"), unescape(F.substring(piece, begin, size)).alias("text"))
+        role, text = F.substring(piece, F.lit(1), at - F.lit(1)), F.substring(piece, begin, size)
+        return F.struct(unescape_role(role, template).alias("role"), unescape(text, template).alias("text"))
 
     pieces = F.split(formatted, literal(template.start), -1)
     return F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - F.lit(1), F.lit(0))), turn)
 
 
-def loss_text(segments: Column) -> Column:
+def loss_text(segments: Column, template: Template = CHATML) -> Column:
     """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], template)), "")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +173,7 @@ WITH rows AS (
         sum(12 + length(role) + 1 + length(text) + length(text) - length(replace(text, chr(92), ''))
             + (length(text) - length(replace(text, '<|', ''))) // 2 + 11) AS formatted_chars,
         string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text) AS path
-    FROM rows GROUP BY conv_id
+    FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER (PARTITION BY conv_id) END AS alone FROM rows) GROUP BY conv_id, alone
 )
 SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
     formatted_chars::BIGINT AS formatted_chars, regexp_full_match(path, 's?(ua)+') AS valid
