@@ -174,6 +174,21 @@ def test_language_held_out(spark, tmp_path):
     assert again == {k: r["score"] for k, r in out.items()}
 
 
+def test_language_sample_draws_by_text(spark, tmp_path):
+    """Null and repeated ids neither keep a language out nor bring all of its rows."""
+    rng = random.Random(43)
+    for key in (None, 7):
+        rows = [(key, invented(rng, SYLLABLES[k], 30), k, "s", 0) for k in SYLLABLES for _ in range(150)]
+        df = spark.createDataFrame(rows + rows[:100], DOCS).withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit("x"))
+        out = langid.predict(df, langid.learn(df, langid.Config(per_language=60)))
+        assert out.columns == ["doc_id", "lang", "source", "n_chars", "lang_pred", "score"]
+        found = [(r["lang"], r["lang_pred"]) for r in out.collect()]
+        assert len(found) == len(rows) + 100 and sum(a == b for a, b in found) > 0.97 * len(found)
+    assert langid.query(spark, save(spark, tmp_path, documents=([], DOCS))).count() == 0
+    few = langid.learn(df, langid.Config(per_language=60, languages=2))
+    assert len(few.languages) == 2
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None, "s", 3)], DOCS)
     row = langid.predict(df, langid.learn(df)).first()
@@ -217,6 +232,46 @@ def test_chat_round_trip(spark):
     assert {r["conv_id"]: r["valid"] for r in out} == {1: True, 2: False, 3: False, None: False, 4: True}
 
 
+@pytest.mark.parametrize("kind", [{"mark": "[I", "start": "[INST]", "end": "[INEND]", "after_role": ":"}, {"mark": "##", "start": "## ", "end": "##."}, {"start": "<user>"}, {"mark": "<|", "after_role": "ab"}, {"mark": "{%", "start": "{%turn ", "after_role": "{%}", "end": "{%end%}\n"}])
+def test_chat_of_other_templates(spark, kind):
+    """A template of other marks is undone exactly, or refused."""
+    if kind.get("mark") not in ("[I", "{%"):
+        with pytest.raises(ValueError):
+            chat.Template(**kind)
+        return
+    template = chat.Template(**kind)
+    nasty = [template.start, template.end, template.mark, template.mark[0], template.mark[0] + "\\" + template.mark[1:], "\\\\", template.after_role, template.mark[0] + "\\.", "a:b[\\I{\\%", ""]
+    rows = [(1, i, a, b) for i, (a, b) in enumerate((a, b) for a in nasty for b in nasty)] + [(None, 0, "user", "x"), (None, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(df, template).withColumn("turns", chat.parse_chats(F.col("formatted"), template)).collect()
+    assert sorted(len(r["turns"]) for r in out) == [1, 1, 100]
+    for r in out:
+        if r["conv_id"]:
+            assert [(t["role"], t["text"]) for t in r["turns"]] == [x[2:] for x in rows[:100]]
+    assert chat.format_chats(df.limit(0), template).count() == 0
+
+
+def test_scratch_needs_a_shared_folder():
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, path):
+            self.path = path
+
+    class Session:
+        def __init__(self, master):
+            self.sparkContext, self.conf = Context(master), {}
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://https://x"):
+        with pytest.raises(ValueError, match="share"):
+            common.scratch_root(Session(master))
+    assert common.scratch_root(Session("local[4]")).startswith("file://")
+
+
 def test_chat_query_is_native(spark, sf_dir):
     plan = chat.query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|MapIn", plan)
@@ -463,6 +518,39 @@ def test_bpe_equals_tiktoken(spark, tmp_path):
         assert r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_bpe_of_long_pieces():
+    """Pieces of up to a million bytes are joined from chunks, in time that grows with their length."""
+    import time
+
+    import public_tokenizers as p
+    import tiktoken
+
+    path = p.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("t", pat_str=p.PATTERN, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    engine = bpe.Engine(path, p.PATTERN)
+    rng = random.Random(42)
+    tokens = [t.decode() for t in bpe.ranks(path) if t.isalpha() and t.isascii()]
+    long = ["a" * 5000, "ab" * 3000, "=" * 4097, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "".join(rng.choice(tokens) for _ in range(4000)), "漢字" * 900, "é" * 513, "".join(rng.choice("aeno") for _ in range(9000)), "x" * 512, "x" * 513]
+    for text, ids in zip(long, engine.round_trip(long)[0].to_pylist(), strict=True):
+        assert ids == enc.encode_ordinary(text)
+    began = time.time()
+    huge = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    ids, data = engine.round_trip([huge])
+    assert data.to_pylist() == [huge.encode()] and time.time() - began < 60
+    for k in range(0, 1_000_000, 100_000):  # without its bounds, a slice of the whole is the encoding of what it spans
+        part = ids.to_pylist()[0][k // 4 : k // 4 + 500]
+        assert enc.encode_ordinary(b"".join(engine.token[i] for i in part).decode()) == part
+
+
+def test_bpe_edge_tables(spark, tmp_path):
+    assert bpe.query(spark, save(spark, tmp_path, documents=([], DOCS))).count() == 0
+    import public_tokenizers as p
+
+    df = spark.createDataFrame([("a", "x", "hello")], "ids string, decoded string, text string")
+    out = bpe.encode_decode(df, p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
+    assert out.columns == ["ids", "decoded"] and bytes(out.first()["decoded"]) == b"hello"
+
+
 def test_bpe_dictionary_may_overflow(monkeypatch):
     import public_tokenizers as p
 
