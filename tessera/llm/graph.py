@@ -16,20 +16,20 @@ def _stored(df: DataFrame, name: str, rows: int) -> DataFrame:
     return materialize(df.coalesce(max(1, -(-rows // PART))), name)
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every endpoint of the edges (a, b): label is the least node of its
-    component. Each round hooks every node to its least neighbour, follows the hooks twice and
-    contracts the graph, which at least halves the nodes that still have edges."""
+    component. Each round hooks every node to its neighbour of the least hash, drawn anew each round,
+    follows the hooks twice and contracts the graph: whatever its shape, at most half of the nodes with
+    edges are expected to remain. It ends when no edge is left."""
     live = _stored(edges.select("a", "b").filter("a <> b").distinct(), "edges", edges.count())
     found: DataFrame | None = None
-    nodes = 0
-    for _ in range(rounds):
-        n = live.count()
-        if not n:
-            break
-        nodes = nodes or 2 * n
+    nodes = turn = 0
+    while n := live.count():
+        nodes, turn = nodes or 2 * n, turn + 1
+        drawn = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("node"))  # noqa: E731, B023
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = _stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "hooks", 2 * n)
+        hook = both.groupBy("a").agg(F.min(drawn("b")).alias("least")).select(F.col("a").alias("node"), F.least("least", drawn("a"))["node"].alias("to"))
+        hook = _stored(hook, "hooks", 2 * n)
         for _ in range(2):
             up = hook.select(F.col("node").alias("to"), F.col("to").alias("next"))
             hook = _stored(hook.join(up, "to", "left").select("node", F.coalesce("next", "to").alias("to")), "hooks", 2 * n)
@@ -43,4 +43,5 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         live = _stored(live.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b").distinct(), "edges", n)
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
-    return found
+    least = found.groupBy("label").agg(F.min("node").alias("least"))
+    return found.join(least, "label").select("node", F.col("least").alias("label"))

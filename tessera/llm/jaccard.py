@@ -4,13 +4,15 @@ Texts are sets of shingles of ``Config.words`` consecutive words (a shorter text
 Run r splits the texts on one sampled shared token, the shingle that is least under hash function r;
 texts that share it meet in a bucket. A large bucket is split again on the tokens of later functions
 as long as that pulls its members apart. Small buckets are searched by brute force; large ones whose
-members stay together are cut into blocks, and every pair of blocks is searched. Two texts of
-similarity s agree on a function with probability s, so ``Config.recall`` fixes the number of runs, and
-the number of functions from which a path's further tokens come.
+members stay together are cut into blocks, and every pair of blocks is searched. Blocks grow with their
+bucket up to ``Config.block`` members: n texts that are all alike cost n * n comparisons, as their links are
+counted exactly, but n * n / block rows. Two texts of similarity s agree on a function with probability s,
+so ``Config.recall`` fixes the number of runs, the number of functions from which a path's further tokens
+come, and the number of functions on which sketches must agree to be compared.
 
 A pair is judged in one place only: the bucket of its first common tokens, which its sketches tell.
 So links are counted without listing pairs, and no group is ever expanded into pairs. Sketches choose
-the candidates; the shingle sets of their texts decide exactly.
+the candidates; the shingle sets of their texts, hashed once for each text, decide exactly.
 
 Texts that are equal are one text with several documents, whose copies are never compared. Result:
 one row per document with its class (connected by links or equality; named by its least doc_id), the
@@ -46,18 +48,30 @@ class Config:
     similarity: float = 0.8
     recall: float = 0.99999
     functions: int = 32
-    #: Sketches that agree on fewer functions are not compared: at the similarity sought, fewer than
-    #: one pair in a million does.
-    agree: int = 13
-    #: Members of a bucket that is searched as a whole, and of a block.
+    #: Members of a bucket that is searched as a whole, and at most of a block of a larger one.
     bucket: int = 256
+    block: int = 1024
     depth: int = 3
 
+    def __post_init__(self):
+        if self.functions < self.reach(self.depth):
+            raise ValueError(f"paths of {self.depth} tokens at similarity {self.similarity} need {self.reach(self.depth)} functions")
+
+    def below(self, n: int, level: int) -> float:
+        """The chance that a pair of the similarity sought agrees on fewer than ``level`` of n functions."""
+        s = self.similarity
+        return sum(math.comb(n, i) * s**i * (1 - s) ** (n - i) for i in range(level))
+
+    @property
+    def agree(self) -> int:
+        """Sketches that agree on fewer functions are not compared: a tenth of the recall's loss at most."""
+        return max(n for n in range(1, self.functions + 1) if n == 1 or self.below(self.functions, n) <= (1 - self.recall) / 10)
+
     def reach(self, level: int) -> int:
         """How many functions paths of ``level`` tokens draw from: the least number of which a pair of
         the similarity sought has ``level`` in common with the recall sought."""
-        s, n = self.similarity, level
-        while sum(math.comb(n, i) * s**i * (1 - s) ** (n - i) for i in range(level)) > 1 - self.recall:
+        n = level
+        while self.below(n, level) > 1 - self.recall:
             n += 1
         return n
 
@@ -162,7 +176,9 @@ def _blocks(stay: DataFrame, config: Config) -> DataFrame:
     counts = stay.filter("token is not null").groupBy("place", "token").agg(F.count(F.lit(1)).alias("m"))
     common = counts.groupBy("place").agg(F.max_by("token", F.struct("m", "token")).alias("common"), F.max("m").alias("m"))
     rows = stay.join(common, "place", "left").withColumn("settled", F.coalesce(F.col("token") == F.col("common"), F.lit(False)))
-    blocks = lambda n: F.ceil(n / config.bucket).cast("int")
+    # Sixteen blocks, until these reach their largest size: pairs enough for many tasks.
+    size = F.greatest(F.lit(config.bucket), F.least(F.lit(config.block), F.ceil(F.col("n") / 16)))
+    blocks = lambda n: F.ceil(n / size).cast("int")
     m = F.coalesce("m", F.lit(0))
     rows = rows.withColumn("s", blocks(m)).withColumn("u", blocks(F.col("n") - m)).withColumn("h", F.xxhash64("tid", F.lit("block")))
     own = F.when(F.col("settled"), F.pmod("h", F.greatest("s", F.lit(1)))).otherwise(F.col("s") + F.pmod("h", F.greatest("u", F.lit(1)))).cast("int")
@@ -247,26 +263,40 @@ def _shared(gram: np.ndarray, of: np.ndarray, n: int, i: np.ndarray, j: np.ndarr
     place, of = place[keep], of[keep]
     used, place = np.unique(place, return_inverse=True)
     total = np.zeros((n, n), np.float32)
-    for first in range(0, len(used), 8192):
-        inside = (place >= first) & (place < first + 8192)
-        x = np.zeros((n, min(8192, len(used) - first)), np.float32)
+    for first in range(0, len(used), 4096):
+        inside = (place >= first) & (place < first + 4096)
+        x = np.zeros((n, min(4096, len(used) - first)), np.float32)
         x[of[inside], place[inside] - first] = 1
         total += x @ x.T
     return total[i, j].astype(np.int64)
 
 
-def links(chosen: DataFrame, distinct: DataFrame, config: Config) -> DataFrame:
+def sets(texts: DataFrame, config: Config) -> DataFrame:
+    """(tid, grams) of (tid, text): the sorted shingle hashes of each text, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in K.lowered_runs(b.column(1)):
+                gram, of = shingles(t, config.words)
+                at = np.searchsorted(of, np.arange(len(t) + 1)) * 8
+                data = pa.Array.from_buffers(pa.binary(), len(t), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(gram.astype("<u8"))])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first, len(t)), data], names=["tid", "grams"])
+
+    return texts.select("tid", "text").mapInArrow(run, "tid string, grams binary")
+
+
+def links(chosen: DataFrame, held: DataFrame, config: Config) -> DataFrame:
     """(tid, root, n): each linked text, a text of its group in this bucket, and the links counted
-    here. Exact: by the shingle sets of the texts themselves."""
-    rows = chosen.join(distinct.select("tid", "text"), "tid").select(*MEMBER, "text").repartition(*PLACE).sortWithinPartitions(*PLACE, "tid")
+    here. Exact: by the shingle sets of the texts (``held``)."""
+    rows = chosen.join(held, "tid").select(*MEMBER, "grams").repartition(*PLACE).sortWithinPartitions(*PLACE, "tid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _whole_groups(batches, PLACE):
             n = g.num_rows
             if n < 2:
                 continue
-            parts = [(gram, of + t.first) for t in K.lowered_runs(g.column(6)) for gram, of in [shingles(t, config.words)]]
-            gram, of = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            own = [np.frombuffer(x.as_buffer(), "<u8") for x in g.column(6)]
+            gram, of = np.concatenate(own), np.repeat(np.arange(n), [len(x) for x in own])
             pairs = _judged_here(sketches(gram, of, n, config.functions), g, config)
             i, j = np.nonzero(np.triu(pairs, 1))
             if not len(i):
@@ -298,7 +328,8 @@ def near_duplicates(docs: DataFrame, config: Config = Config()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.filter("doc_id is not null")
     rows = materialize(sketch(known, config), "sketches")
-    n_parts = parts(docs.sparkSession, rows.count())
+    n_rows = rows.count()
+    n_parts = parts(docs.sparkSession, n_rows)
     texts = rows.groupBy("tid").agg(F.first("mins").alias("mins"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_copies"))
     texts = materialize(texts, "texts", n_parts)
     full = texts.filter("mins is not null").select("tid", "mins")
@@ -308,7 +339,7 @@ def near_duplicates(docs: DataFrame, config: Config = Config()) -> DataFrame:
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     near = sieve(known, "doc_id", wanted.select("doc_id"))[0]
     held = near.join(wanted.withColumnRenamed("tid", "want"), "doc_id").filter(digest == F.col("want")).select(F.col("want").alias("tid"), "text").dropDuplicates(["tid"])
-    found = materialize(links(members, held, config), "links", n_parts)
+    found = materialize(links(members, materialize(sets(held, config), "sets", n_parts), config), "links", n_parts)
     labels = components(found.select(F.col("tid").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("tid").agg(F.sum("n").alias("n_links"))
     named = texts.drop("mins").join(labels.withColumnRenamed("node", "tid"), "tid", "left").join(counted, "tid", "left")
@@ -316,7 +347,13 @@ def near_duplicates(docs: DataFrame, config: Config = Config()) -> DataFrame:
     keyed = named.select("tid", F.coalesce("label", "tid").alias("label"), "first", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     classes = keyed.groupBy("label").agg(F.min("first").alias("class_id"))
     of_text = keyed.join(classes, "label").select("tid", "class_id", "n_links", "n_copies")
-    out = rows.select("doc_id", "tid", F.col("mins").isNull().alias("empty")).join(of_text, "tid")
+    # Texts that very many documents share, at most 100,000 of them whatever the input, are broadcast, so
+    # that no task gathers their documents; the others meet in a join.
+    hot = F.col("n_copies") > max(10_000, n_rows // 100_000)
+    names = ["class_id", "n_links", "n_copies"]
+    met = rows.select("doc_id", "tid", F.col("mins").isNull().alias("empty")).join(F.broadcast(of_text.filter(hot)), "tid", "left")
+    rest = met.filter("class_id is null").drop(*names).join(of_text.filter(~hot), "tid")
+    out = met.filter("class_id is not null").unionByName(rest)
     out = out.select("doc_id", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links", "n_copies")
     nameless = docs.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return out.unionByName(nameless)

@@ -635,8 +635,8 @@ def brute_sets(texts, k=5):
     return out
 
 
-@pytest.mark.parametrize("bucket", [256, 8])
-def test_jaccard_equals_brute_force(spark, bucket):
+@pytest.mark.parametrize(("bucket", "block"), [(256, 1024), (8, 8), (2, 16)])
+def test_jaccard_equals_brute_force(spark, bucket, block):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(2000)]
     base = [rng.choice(vocabulary) for _ in range(120)]
@@ -652,7 +652,7 @@ def test_jaccard_equals_brute_force(spark, bucket):
     texts += texts[:5] + ["a b", "a b", "", None, None, "one two three four five", "x " * 9000]
     rows = list(enumerate(texts)) + [(0, texts[0]), (None, "a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tid", F.lit(1)).withColumn("mins", F.lit(2))
-    out = jaccard.near_duplicates(df, jaccard.Config(bucket=bucket)).collect()
+    out = jaccard.near_duplicates(df, jaccard.Config(bucket=bucket, block=block)).collect()
     assert len(out) == len(rows)
     sets = brute_sets({t for _, t in rows if t})
     names = sorted(sets)
@@ -702,10 +702,31 @@ def test_paths_reach_the_recall():
         assert miss(n) <= 1 - c.recall < miss(n - 1)
 
 
+def test_sketch_cut_follows_similarity():
+    for similarity, functions in ((0.8, 32), (0.7, 40), (0.5, 64), (0.9, 32)):
+        c = jaccard.Config(similarity=similarity, functions=functions)
+        assert c.below(functions, c.agree) <= 1e-6 < c.below(functions, c.agree + 1)
+    assert jaccard.Config().agree == 13
+    with pytest.raises(ValueError, match="functions"):
+        jaccard.Config(similarity=0.3)
+
+
+def test_alike_texts_cost_rows_by_blocks(spark):
+    """Members of a bucket of one-word variants are repeated for each pair of blocks, not of texts."""
+    n = 1200
+    words = [f"w{i}" for i in range(100)]
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(" ".join(words[:50])), F.lit(" v"), F.col("id"), F.lit(" " + " ".join(words[50:]))).alias("text"))
+    config = jaccard.Config(bucket=16, block=128)
+    full = jaccard.sketch(df, config).select("tid", "mins")
+    assert jaccard.buckets(full, config).count() < 4 * n * (2 * 16 + config.reach(1))
+    out = jaccard.near_duplicates(df, config)
+    assert out.groupBy("class_id", "n_links").count().collect() == [(0, n - 1, n)]
+
+
 def test_components(spark):
-    chain = [(f"{i:03d}", f"{i + 1:03d}") for i in range(40)] + [("x", "y"), ("y", "x"), ("z", "z")]
+    chain = [(f"{i:03d}", f"{i + 1:03d}") for i in range(400)] + [("x", "y"), ("y", "x"), ("z", "z")]
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(chain, "a string, b string")).collect()}
-    assert got == {f"{i:03d}": "000" for i in range(41)} | {"x": "x", "y": "x"}
+    assert got == {f"{i:03d}": "000" for i in range(401)} | {"x": "x", "y": "x"}
 
 
 def test_sieve_is_exact_on_the_safe_side(spark):
