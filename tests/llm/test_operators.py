@@ -845,6 +845,59 @@ def test_verbatim_words_survive_what_surrounds_them(spark):
     assert start <= 54 and end >= 104
 
 
+def test_all_verbatim_passages_by_brute_force(spark):
+    """Random documents that quote fragments of each other: every run of 50 words that an earlier document
+    holds too is covered, wherever the first occurrences of its parts lie; what is reported is so."""
+    rng = random.Random(44)
+    fill = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    texts = [fill(rng.randint(60, 200)) for _ in range(12)]
+    for _ in range(60):
+        own: list[str] = []
+        for _ in range(rng.randint(1, 5)):
+            source = rng.choice(texts)
+            at = rng.randrange(len(source))
+            own += fill(rng.randint(0, 30)) + source[at : at + rng.randint(10, 120)]
+        texts.append(own + fill(rng.randint(0, 20)))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3, "doc_id")
+    found = passages.passages(df).collect()
+    covered = collections.defaultdict(set)
+    for r in found:
+        assert r["ref_doc_id"] < r["doc_id"] and r["similarity"] >= 0.8
+        covered[r["doc_id"]].update(range(r["start"], r["end"]))
+    seen: dict[tuple, int] = {}
+    for i, t in enumerate(texts):
+        runs = {tuple(t[j : j + 50]): j for j in range(len(t) - 49)}
+        for run, j in runs.items():
+            assert seen.get(run, i) == i or set(range(j, j + 50)) <= covered[i], (i, j)
+        for run in runs:
+            seen.setdefault(run, i)
+
+
+def test_scattered_first_occurrences(spark):
+    """An exact passage of 120 words, of which eight earlier documents quote 25 words each."""
+    rng = random.Random(45)
+    fill = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    passage = fill(120)
+    texts = {i: fill(10) + passage[14 * i : 14 * i + 25] + fill(10) for i in range(8)}
+    texts |= {100: fill(20) + passage + fill(9), 101: fill(33) + passage + fill(9)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    out = [tuple(r)[:6] for r in passages.passages(df).collect()]
+    assert out == [(101, 33, 153, 100, 20, 140)]
+
+
+def test_fuzzy_passages_are_mostly_found(spark):
+    """Of passages of 80 words with every tenth word replaced at random, at least nine in ten."""
+    rng = random.Random(46)
+    fill = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for i in range(100):
+        passage = fill(80)
+        other = [fill(1)[0] if rng.random() < 0.1 else w for w in passage]
+        rows += [(2 * i, " ".join(fill(30) + passage + fill(30))), (2 * i + 1, " ".join(fill(20) + other + fill(40)))]
+    out = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "ref_doc_id").distinct().collect()
+    assert all(r["ref_doc_id"] == r["doc_id"] - 1 for r in out) and len(out) >= 90
+
+
 def test_cover_keeps_every_word():
     rng = np.random.default_rng(17)
     words = lambda a, b: set().union(*(range(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)))
