@@ -1,18 +1,24 @@
 """Lexical retrieval packing with a sharded BM25 inverted index.
 
 Documents become token ids. Whole windows of a long document are sequences of their own; what is
-left of each document (its tail) is packed with its lexical neighbours. Every task packs the
-documents of its partition in shards of ``Config.shard`` tails: a shard's inverted index maps each
-token to the tails that hold it. A seed tail queries the index; unused neighbours, best BM25 score
-first, fill its window. The last one is cut where the window ends, and its rest is the next seed, so
-windows carry no padding. The few tokens left at a task's end are cut into sequences whose lengths
-are powers of two, which need none either.
-
-Nothing is shuffled: a shard is a bounded run of rows, hot keys play no part, and a repeated task
-gives the same pieces. Sequence ids are unique over partitions: partition << 33 | counter.
+left of each document (its tail) is packed with its lexical neighbours. Document frequencies and lengths
+are counted over all documents, whole texts. Of the tokens that two documents or more hold, a document's
+rarest ones decide where it goes: it is routed by the one of the highest BM25 weight among those that no
+more than a shard of documents hold (where there is none, by the rarest), and tails that go by the same
+token lie next to each other, in any order of the input. Every task packs a range of that order in shards
+of ``Config.shard`` tails: a shard's inverted index maps each token of its documents' whole texts to them. A
+seed queries the index; unused neighbours, best BM25 score first, fill its window. The last one is cut
+where the window ends, and its rest is the next seed, so windows carry no padding. The few tokens left
+at a task's end are cut into sequences whose lengths are powers of two, which need none either.
+
+Texts are tokenised once and stored; only tails are shuffled, by a range partitioning whose last key
+numbers the documents, so no token or group of copies gathers more than a shard at a time. Sequence ids
+are unique over partitions: partition << 33 | counter, and 1 << 62 more for sequences of tails.
 
 Defined cases: a null text is empty; it is one piece, id 0 alone. Repeated rows and repeated ids are
-documents of their own. ``<|endoftext|>`` in a text is its own id, as the tokenizer has it.
+documents of their own; ties follow the order of the input's partitions. ``<|endoftext|>`` in a text is its
+own id, as the tokenizer has it. An empty table gives an empty result. Other columns are ignored; a key
+that is named as a column of the result is refused.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import strings, table
+from tessera.llm.common import materialize, parts, strings, table
 
 SPECIAL = "<|endoftext|>"
 #: Characters on which all versions of the Unicode tables agree, so that either library cuts alike.
@@ -70,31 +76,66 @@ class Tokenizer:
 _tokenizers: dict[tuple[str, str, str], Tokenizer] = {}
 
 
+@dataclass
+class Counts:
+    """Of all documents: how many hold each token, how many there are, their mean length."""
+
+    df: np.ndarray
+    n: int
+    mean: float
+
+    def idf(self, token: np.ndarray) -> np.ndarray:
+        df = self.df[token]
+        return np.log((self.n - df + 0.5) / (df + 0.5))
+
+    def weights(self, token: np.ndarray, count: np.ndarray, size: np.ndarray, config: Config) -> np.ndarray:
+        """BM25 weight of each token in a document of so many tokens."""
+        norm = config.k1 * (1 - config.b + config.b * size / self.mean)
+        return self.idf(token) * count * (config.k1 + 1) / (count + norm)
+
+    def route(self, token: np.ndarray, count: np.ndarray, size: int, config: Config) -> int:
+        """The token by which a document is dealt; -1 if no other document holds one of its tokens."""
+        df = self.df[token]
+        rare = (df > 1) & (df <= config.shard)
+        if rare.any():
+            own = token[rare]
+            return int(own[self.weights(own, count[rare], np.full(len(own), size), config).argmax()])
+        shared = token[(df > 1) & (2 * df < self.n)]
+        return int(shared[self.df[shared].argmin()]) if len(shared) else -1
+
+
+@dataclass
+class Tail:
+    """What is left of a document, from token ``start`` on; its whole text's distinct tokens."""
+
+    key: object
+    start: int
+    ids: np.ndarray
+    total: int
+    token: np.ndarray
+    count: np.ndarray
+
+
 class Index:
-    """BM25 inverted index of one shard. Tokens in half of the tails or more say nothing and are
-    left out, as their weight would not be positive."""
+    """BM25 inverted index of one shard, over whole texts. Tokens in half of all documents or more say
+    nothing and are left out, as their weight would not be positive."""
 
-    def __init__(self, tails: list[np.ndarray], config: Config):
+    def __init__(self, tails: list[Tail], counts: Counts, config: Config):
         n = len(tails)
-        size = np.array([len(t) for t in tails])
-        key = (np.repeat(np.arange(n, dtype=np.int64), size) << 32) | np.concatenate(tails)
-        key, count = np.unique(key, return_counts=True)
-        doc, token = key >> 32, key & 0xFFFFFFFF
+        doc = np.repeat(np.arange(n, dtype=np.int64), [len(t.token) for t in tails])
+        token, count = np.concatenate([t.token for t in tails]).astype(np.int64), np.concatenate([t.count for t in tails])
+        keep = counts.idf(token) > 0
+        doc, token, count = doc[keep], token[keep], count[keep]
         vocabulary, term = np.unique(token, return_inverse=True)
-        df = np.bincount(term)
-        idf = np.log((n - df + 0.5) / (df + 0.5))
-        keep = idf[term] > 0
-        doc, term, count = doc[keep], term[keep], count[keep]
-        norm = config.k1 * (1 - config.b + config.b * size[doc] / size.mean())
+        weight = counts.weights(token, count, np.array([t.total for t in tails])[doc], config)
         order = np.argsort(term, kind="stable")
-        self.doc = doc[order]
-        self.weight = (idf[term] * count * (config.k1 + 1) / (count + norm))[order]
+        self.doc, self.weight = doc[order], weight[order]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(vocabulary)))])
         self.terms = np.split(term, np.searchsorted(doc, np.arange(1, n)))
         self.n = n
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 score of every tail for the seed's tokens, each counted once."""
+        """BM25 score of every document for the seed's tokens, each counted once."""
         terms = self.terms[seed]
         begin, size = self.start[terms], self.start[terms + 1] - self.start[terms]
         at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
@@ -120,23 +161,12 @@ class Packer:
             self.next, self.filled = self.next + 1, 0
         return (start + take, ids[take:]) if take < len(ids) else None
 
-    def windows(self, row: object, ids: np.ndarray) -> tuple[int, np.ndarray]:
-        """Sequences for the whole windows of a document; returns where its tail starts, and it.
-        Between shards no window is open, so numbers follow each other."""
-        size = self.config.size
-        whole = len(ids) // size * size
-        for at in range(0, whole, size):
-            self.piece(row, at, ids[at : at + size], len(ids), self.next, 0)
-            self.next += 1
-        return whole, ids[whole:]
-
-    def shard(self, tails: list[tuple[object, int, np.ndarray, int]]) -> list[tuple[object, int, np.ndarray, int]]:
+    def shard(self, tails: list[Tail], counts: Counts) -> list[Tail]:
         """Pack the tails of a shard; returns those that do not fill a last window."""
         if not tails:
             return []
-        index = Index([t[2] for t in tails], self.config)
-        tails = list(tails)
-        left = np.array([len(t[2]) for t in tails])
+        index = Index(tails, counts, self.config)
+        left = np.array([len(t.ids) for t in tails])
         unused = np.ones(len(tails), bool)
         remaining, following, last = int(left.sum()), 0, -1
         while remaining >= self.config.size:
@@ -148,23 +178,24 @@ class Packer:
             rank[~unused] = -1
             rank[seed] = np.inf
             for i in np.argsort(-rank, kind="stable"):
-                row, start, ids, total = tails[i]
+                t = tails[i]
                 unused[i] = False
                 before = self.next
-                remaining -= min(len(ids), self.config.size - self.filled)
-                rest = self.add(row, start, ids, total)
+                remaining -= min(len(t.ids), self.config.size - self.filled)
+                rest = self.add(t.key, t.start, t.ids, t.total)
                 if rest is not None:
-                    tails[i] = (row, *rest, total)
+                    t.start, t.ids = rest
                     unused[i] = True
                 if self.next != before:
                     last = int(i)
                     break
         return [t for t, u in zip(tails, unused, strict=True) if u]
 
-    def finish(self, tails: list[tuple[object, int, np.ndarray, int]]) -> None:
+    def finish(self, tails: list[Tail]) -> None:
         """Cut what is left, less than a window, into sequences of powers of two."""
-        remaining = sum(len(t[2]) for t in tails)
-        for row, start, ids, total in tails:
+        remaining = sum(len(t.ids) for t in tails)
+        for t in tails:
+            row, start, ids, total = t.key, t.start, t.ids, t.total
             while len(ids):
                 if not self.filled:
                     self.room = 1 << (remaining.bit_length() - 1)
@@ -177,41 +208,132 @@ class Packer:
                     self.next, self.filled = self.next + 1, 0
 
 
-def pack(df: DataFrame, json_path: str, ranks_path: str, pattern: str, config: Config = Config(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per piece: the key and SCHEMA; ids are little-endian unsigned 32-bit."""
-    source = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))
-    schema = T.StructType([source.schema[key], *T.StructType.fromDDL(SCHEMA).fields])
+#: Rows of the stored table: whole windows, tails, and each task's document frequencies.
+WINDOW, TAIL, FREQUENCIES = 0, 1, 2
+STORED = "kind int, start long, ids binary, doc_tokens long, sequence_id long, tokens binary, counts binary"
+
+
+def tokenised(source: DataFrame, names: tuple[str, str, str], config: Config) -> DataFrame:
+    """Rows (key, STORED) of (key, text). Of frequencies, ``start`` counts documents, ``doc_tokens`` tokens;
+    of tails, ``sequence_id`` numbers documents."""
+    schema = T.StructType([source.schema["key"], *T.StructType.fromDDL(STORED).fields])
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    pack = lambda x: x.astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = (json_path, ranks_path, pattern)
         tokenizer = _tokenizers.get(names) or _tokenizers.setdefault(names, Tokenizer(*names))
-        packer = Packer(config, TaskContext.get().partitionId() << 33)
-        tails: list[tuple[object, int, np.ndarray, int]] = []
+        base = TaskContext.get().partitionId() << 33
         end = np.array([config.end_id], np.uint32)
+        df = np.zeros(1, np.int64)
+        n = size = made = 0
+        rows: list[tuple] = []
+        held, kind = 0, None
+
+        def emit() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *[pa.array(c, t) for c, t in zip(columns[1:], types, strict=True)]], names=schema.names)
+
+        for b in batches:
+            kind = b.column(0).type
+            keys, texts = b.column(0).to_pylist(), strings(b.column(1))
+            for i, key in enumerate(keys):
+                ids = np.concatenate([tokenizer.ids(texts[i].as_py()), end])
+                token, count = np.unique(ids, return_counts=True)
+                if token[-1] >= len(df):
+                    df = np.pad(df, (0, int(token[-1]) + 1 - len(df)))
+                df[token] += 1
+                whole = len(ids) // config.size * config.size
+                for at in range(0, whole, config.size):
+                    rows.append((key, WINDOW, at, pack(ids[at : at + config.size]), len(ids), base + made, None, None))
+                    made += 1
+                if whole < len(ids):
+                    rows.append((key, TAIL, whole, pack(ids[whole:]), len(ids), base + n, pack(token), pack(count)))
+                n, size, held = n + 1, size + len(ids), held + 4 * len(ids)
+                if held > 1 << 22 or len(rows) >= 1000:
+                    yield emit()
+                    rows, held = [], 0
+        if n:
+            token = np.flatnonzero(df)
+            rows.append((None, FREQUENCIES, n, None, size, base, pack(token), pack(df[token])))
+            yield emit()
+
+    return source.mapInArrow(run, schema)
+
+
+def frequencies(stored: DataFrame) -> Counts:
+    """Summed over all tasks; at most as many rows as the vocabulary has reach the driver."""
+    found = stored.filter(F.col("kind") == FREQUENCIES)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for token, count in zip(b.column(0), b.column(1), strict=True):
+                columns = [np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in (token, count)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "n"])
+
+    sums = found.select("tokens", "counts").mapInArrow(spread, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    token, count = (sums.column(c).to_numpy().astype(np.int64) for c in ("token", "n"))
+    df = np.zeros(int(token.max(initial=0)) + 1, np.int64)
+    df[token] = count
+    total = found.agg(F.sum("start").alias("n"), F.sum("doc_tokens").alias("size")).first()
+    return Counts(df, total["n"] or 0, (total["size"] or 1) / (total["n"] or 1))
+
+
+def routed(tails: DataFrame, counts: Counts, config: Config) -> DataFrame:
+    """Tails with the token by which each is dealt."""
+    schema = T.StructType([*tails.schema.fields, T.StructField("route", T.LongType())])
+    shared = tails.sparkSession.sparkContext.broadcast(counts)  # bounded by the vocabulary
+    at = tails.columns.index
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column(at("tokens")), b.column(at("counts")), b.column(at("doc_tokens")).to_pylist(), strict=True)
+            route = [shared.value.route(np.frombuffer(t.as_buffer(), "<u4"), np.frombuffer(c.as_buffer(), "<u4"), size, config) for t, c, size in rows]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(route, pa.int64())], names=schema.names)
+
+    return tails.mapInArrow(run, schema)
+
+
+def pack(df: DataFrame, json_path: str, ranks_path: str, pattern: str, config: Config = Config(), text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per piece: the key and SCHEMA; ids are little-endian unsigned 32-bit."""
+    if key in T.StructType.fromDDL(SCHEMA).names:
+        raise ValueError(f"{key} is a column of the result")
+    spark = df.sparkSession
+    source = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    stored = materialize(tokenised(source, (json_path, ranks_path, pattern), config), "tokens")
+    counts = frequencies(stored)
+    names = [f.name for f in T.StructType.fromDDL(SCHEMA).fields]
+    shape = [F.col("key").alias(key), *names]
+    windows = stored.filter(F.col("kind") == WINDOW).select("key", "start", F.lit(config.size).cast("long").alias("length"), "ids", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
+    tails = stored.filter(F.col("kind") == TAIL).select("key", "start", "ids", "doc_tokens", "sequence_id", "tokens", "counts")
+    order = ["route", "sequence_id", "start"]
+    dealt = routed(tails, counts, config).repartitionByRange(parts(spark, counts.n), *order).sortWithinPartitions(*order)
+    schema = T.StructType([source.schema["key"], *T.StructType.fromDDL(SCHEMA).fields])
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(config, (1 << 62) + (TaskContext.get().partitionId() << 33))
+        tails: list[Tail] = []
         kind = None
 
         def emit() -> pa.RecordBatch:
             columns = list(zip(*packer.out, strict=True))
             packer.out = []
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *[pa.array(c, t) for c, (_, t) in zip(columns[1:], PIECE, strict=True)]], names=[f.name for f in schema])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *[pa.array(c, t) for c, (_, t) in zip(columns[1:], PIECE, strict=True)]], names=schema.names)
 
         for b in batches:
             kind = b.column(0).type
-            keys, texts = b.column(0).to_pylist(), strings(b.column(1))
-            for i, row in enumerate(keys):
-                ids = np.concatenate([tokenizer.ids(texts[i].as_py()), end])
-                start, tail = packer.windows(row, ids)
-                if len(tail):
-                    tails.append((row, start, tail, len(ids)))
+            for r in b.to_pylist():
+                ids, token, count = (np.frombuffer(r[c], "<u4") for c in ("ids", "tokens", "counts"))
+                tails.append(Tail(r["key"], r["start"], ids, r["doc_tokens"], token, count))
                 if len(tails) >= config.shard:
-                    tails = packer.shard(tails)
-                if len(packer.out) >= 2000:
+                    tails = packer.shard(tails, shared.value)
+                if len(packer.out) >= 1000:
                     yield emit()
-        packer.finish(packer.shard(tails))
+        packer.finish(packer.shard(tails, shared.value))
         if packer.out:
             yield emit()
 
-    return source.mapInArrow(run, schema)
+    return windows.unionByName(dealt.mapInArrow(run, schema)).select(*shape)
 
 
 def packed(docs: DataFrame) -> DataFrame:

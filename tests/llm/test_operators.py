@@ -425,22 +425,52 @@ def test_packing_keeps_every_token(spark, tmp_path):
     assert packing.query(spark, save(spark, tmp_path / "e", documents=([], DOCS))).count() == 0
 
 
-def test_packing_prefers_neighbours():
+def test_packing_index_is_bm25_over_all_documents():
     rng = np.random.default_rng(0)
-    topics = [rng.choice(np.arange(t * 500, t * 500 + 400), 300).astype(np.uint32) for t in (0, 1) for _ in range(30)]
-    index = packing.Index(topics, packing.Config())
-    s = index.scores(0)
-    assert s[1:30].min() > s[30:].max()
-    want = np.zeros(60)
-    n, avg = 60, 300
-    for t in np.unique(topics[0]):
-        df = sum(t in d for d in topics)
-        idf = np.log((n - df + 0.5) / (df + 0.5))
+    topics = [rng.choice(np.arange(t * 500, t * 500 + 400), int(rng.integers(200, 400))).astype(np.uint32) for t in (0, 1) for _ in range(30)]
+    shard = topics[:20] + topics[30:40]
+    n, mean = len(topics), np.mean([len(t) for t in topics])
+    df = np.bincount(np.concatenate([np.unique(t) for t in topics]), minlength=1000)
+    counts = packing.Counts(df, n, mean)
+    tails = [packing.Tail(i, 0, t, len(t), *np.unique(t, return_counts=True)) for i, t in enumerate(shard)]
+    s = packing.Index(tails, counts, packing.Config()).scores(0)
+    want = np.zeros(len(shard))
+    for t in np.unique(shard[0]):
+        idf = np.log((n - df[t] + 0.5) / (df[t] + 0.5))
         if idf > 0:
-            for j, d in enumerate(topics):
+            for j, d in enumerate(shard):
                 tf = (d == t).sum()
-                want[j] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / avg)) if tf else 0
-    assert np.allclose(s, want)
+                want[j] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean)) if tf else 0
+    assert np.allclose(s, want) and s[1:20].min() > s[20:].max()
+
+
+def test_packing_brings_neighbours_together(spark):
+    """Documents of 300 subjects, shuffled over the whole table, share windows with their own subject far
+    more often than documents in the order of the table would, or by chance."""
+    rng = random.Random(47)
+    subjects = [[invented(rng, SYLLABLES["en"], 1) + str(1000 + s * 40 + i) for i in range(20)] for s in range(300)]
+    rows = [(i, i % 300, " ".join(rng.choice(subjects[i % 300]) for _ in range(40))) for i in range(1500)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string").repartition(4)
+    subject = {i: s for i, s, _ in rows}
+    together = collections.defaultdict(set)
+    for r in packing.packed(df).collect():
+        together[r["sequence_id"]].add(r["doc_id"])
+    pairs = [(a, b) for own in together.values() for a in own for b in own if a < b]
+    share = sum(subject[a] == subject[b] for a, b in pairs) / len(pairs)
+    assert share > 0.15  # by chance: 1 in 300; subjects share numerals, and have five documents to a window of six
+
+
+def test_packing_of_odd_tables(spark):
+    df = spark.createDataFrame([("k", None, 1), ("k", "a b", 2), (None, "a b", 3), ("x", "long text " * 30_000, 4)] + [("k", "a b", 2)] * 40, "doc_id string, text string, start long")
+    out = packing.packed(df)
+    assert out.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    pieces = out.collect()
+    assert {r["doc_id"] for r in pieces} == {"k", "x", None} and sum(r["length"] for r in pieces if r["doc_id"] == "k") == 1 + 41 * 3
+    assert len({(r["sequence_id"], r["offset"]) for r in pieces}) == len(pieces)
+    assert packing.packed(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="column of the result"):
+        packing.pack(df, "", "", "", key="start")
 
 
 # --- 5: WARC --------------------------------------------------------------------------------------
