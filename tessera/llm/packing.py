@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, parts, strings, table
+from tessera.llm.common import parts, scratch_path, strings, table
 
 SPECIAL = "<|endoftext|>"
 #: Characters on which all versions of the Unicode tables agree, so that either library cuts alike.
@@ -299,7 +299,9 @@ def pack(df: DataFrame, json_path: str, ranks_path: str, pattern: str, config: C
         raise ValueError(f"{key} is a column of the result")
     spark = df.sparkSession
     source = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    stored = materialize(tokenised(source, (json_path, ranks_path, pattern), config), "tokens")
+    made, path = tokenised(source, (json_path, ranks_path, pattern), config), scratch_path(spark, "tokens")
+    made.write.partitionBy("kind").parquet(path)
+    stored = spark.read.schema(made.schema).parquet(path)
     counts = frequencies(stored)
     names = [f.name for f in T.StructType.fromDDL(SCHEMA).fields]
     shape = [F.col("key").alias(key), *names]
