@@ -1,4 +1,4 @@
-"""Transitive closures by bounded, cycle-safe iteration over joins."""
+"""Transitive closures by cycle-safe iteration over joins, to the fixpoint."""
 
 from __future__ import annotations
 
@@ -7,19 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def closure(parents: DataFrame, start: DataFrame | None = None, depth: int = 32, down: bool = True) -> DataFrame:
-    """(root, id, level) along (child, parent), from the ids of ``start`` or from every node. Each
-    round extends only what the last one found; what is known already stops a cycle. Lineage is cut
-    by a checkpoint where the session has a folder for it."""
+def cut(df: DataFrame) -> DataFrame:
+    """A frame without its lineage where the session has a checkpoint folder, else kept."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.persist()
+
+
+def closure(parents: DataFrame, start: DataFrame | None = None, depth: int | None = None, down: bool = True) -> DataFrame:
+    """(root, id, level) along (child, parent), from the ids of ``start`` or from every node, to the
+    fixpoint or to a given depth. Each round extends only what the last one found; what is known already
+    stops a cycle."""
     step = parents.select(F.col("parent" if down else "child").alias("from"), F.col("child" if down else "parent").alias("to")).distinct()
     roots = start.select("id") if start is not None else step.select(F.col("from").alias("id"))
     front = roots.distinct().select(F.col("id").alias("root"), "id", F.lit(0).alias("level"))
-    found = front
-    can_cut = step.sparkSession.sparkContext.getCheckpointDir() is not None
-    for level in range(1, depth + 1):
+    found, level = front, 0
+    while depth is None or level < depth:
+        level += 1
         next_ = front.join(step, front["id"] == step["from"]).select("root", F.col("to").alias("id"), F.lit(level).alias("level")).distinct()
-        next_ = next_.join(found.select("root", "id"), ["root", "id"], "left_anti")
-        next_ = next_.checkpoint() if can_cut else next_.persist()
+        next_ = cut(next_.join(found.select("root", "id"), ["root", "id"], "left_anti"))
         if next_.isEmpty():
             break
         found, front = found.unionByName(next_), next_
@@ -48,10 +52,9 @@ def chain(parents: DataFrame, preferred: DataFrame, depth: int = 8) -> DataFrame
     return rows.select("id", F.array_join("chain", ">").alias("chain"))
 
 
-def resolve_redirects(redirects: DataFrame, depth: int = 8) -> DataFrame:
-    """(title, target): the end of each chain of redirects."""
-    rows = redirects.select("title", "target")
-    for _ in range(depth):
-        step = redirects.select(F.col("title").alias("target"), F.col("target").alias("next"))
-        rows = rows.join(step, "target", "left").select("title", F.coalesce(F.when(F.col("next") != F.col("title"), F.col("next")), "target").alias("target"))
-    return rows
+def resolve_redirects(redirects: DataFrame) -> DataFrame:
+    """(title, target): the end of each title's chain of redirects (title, target); a title whose chain
+    runs into a cycle keeps its own target."""
+    levels = closure(redirects.select(F.col("title").alias("child"), F.col("target").alias("parent")), redirects.select(F.col("title").alias("id")), down=False)
+    ends = levels.join(redirects.select(F.col("title").alias("id")), "id", "left_anti").groupBy(F.col("root").alias("title")).agg(F.min("id").alias("end"))
+    return redirects.select("title", "target").join(ends, "title", "left").select("title", F.coalesce("end", "target").alias("target"))

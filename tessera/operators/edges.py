@@ -81,8 +81,9 @@ def relation_filter(values: Iterable[str] | str | None, type_: str = "type", fam
 
 def unknown_relations(values: DataFrame, edges: DataFrame) -> DataFrame:
     """Filter values (value) that name no type and no family."""
-    known = edges.select(F.explode(F.array("type", F.lower("type"), F.lower("family"))).alias("known")).distinct()
-    return values.join(known, (F.col("value") == F.col("known")) | (F.lower("value") == F.col("known")), "left_anti")
+    known = edges.select("type", "family").distinct().select(F.explode(F.array("type", F.lower("type"), F.lower("family"))).alias("form")).distinct()
+    forms = values.select("value", F.explode(F.array("value", F.lower("value"))).alias("form"))
+    return values.join(forms.join(known, "form").select("value").distinct(), "value", "left_anti")
 
 
 def in_range(low: str | None, high: str | None) -> Column:
@@ -116,10 +117,11 @@ def find_relations(edges: DataFrame, relations: Iterable[str] | str | None = Non
 
 def neighbours(edges: DataFrame, ids: DataFrame, nodes: DataFrame, direction: str = "both", node_type: str | None = None) -> DataFrame:
     """One hop from given nodes: id, direction, type, neighbour, support."""
-    combined = combine_assertions(edges)
     start = ids.select("id")
-    out = combined.join(start.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("source").alias("id"), F.lit("out").alias("direction"), "type", F.col("target").alias("neighbour"), "support")
-    into = combined.join(start.withColumnRenamed("id", "target"), "target", "left_semi").select(F.col("target").alias("id"), F.lit("in").alias("direction"), "type", F.col("source").alias("neighbour"), "support")
+    # Only edges of the asked nodes are combined.
+    near = lambda end: combine_assertions(edges.join(start.withColumnRenamed("id", end), end, "left_semi"))
+    out = near("source").select(F.col("source").alias("id"), F.lit("out").alias("direction"), "type", F.col("target").alias("neighbour"), "support")
+    into = near("target").select(F.col("target").alias("id"), F.lit("in").alias("direction"), "type", F.col("source").alias("neighbour"), "support")
     rows = {"out": out, "in": into}.get(direction) or out.unionByName(into)
     kinds = nodes.select(F.col("id").alias("neighbour"), F.col("type").alias("neighbour_type"))
     rows = rows.join(kinds, "neighbour")

@@ -27,14 +27,26 @@ def in_box(places: DataFrame, min_lon: float, min_lat: float, max_lon: float, ma
 
 def near_join(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     """Pairs of places (id, lat, lon) within km. Points meet on grid cells: an equi-join on the left
-    cell and the right cell's neighbourhood, then the exact distance. Longitudes are taken by the
-    widest reach of the latitude band, so that rows near the poles meet too."""
+    cell and the right cell's neighbourhood, then the exact distance. Cells are bands of latitude of km
+    in height, cut into longitudes as wide as km is at the band's end nearest a pole; a band where that is
+    a third of the circle or more, and its neighbours' reach into it, is one cell. Columns wrap."""
     step = km / geo.LAT_DEGREE
-    band = F.floor((F.col("lat") + 90) / step)
-    l = left.select(F.col("id").alias("id"), "lat", "lon", band.alias("band"))
-    r = right.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    band = lambda lat: F.floor((lat + 90) / step)
+
+    def columns(b: Column) -> Column:
+        # A band's columns suit its neighbours too: their points lie up to two bands nearer the pole.
+        edge = F.greatest(F.abs(b * step - 90 - step), F.abs((b + 2) * step - 90))
+        width = F.when(edge < 89, F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(km / geo.RADIUS / 2)) / F.cos(F.radians(edge))))) * 2)
+        return F.when(width < 120, F.floor(360 / width)).otherwise(1)
+
+    l = left.select("id", "lat", "lon", band(F.col("lat")).alias("band"))
+    l = l.withColumn("col", F.pmod(F.floor((F.col("lon") + 180) / 360 * columns(F.col("band"))), columns(F.col("band"))))
+    r = right.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.array(*[band(F.col("lat")) + i for i in (-1, 0, 1)])).alias("band"))
+    n = columns(F.col("band"))
+    at = F.floor((F.col("lon2") + 180) / 360 * n)
+    r = r.withColumn("col", F.explode(F.array_distinct(F.array(*[F.pmod(at + i, n) for i in (-1, 0, 1)]))))
     d = geo.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    return l.join(r, "band").withColumn("distance_km", d).filter(F.col("distance_km") <= km).drop("band")
+    return l.join(r, ["band", "col"]).withColumn("distance_km", d).filter(F.col("distance_km") <= km).drop("band", "col")
 
 
 @F.pandas_udf(DoubleType())

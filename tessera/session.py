@@ -16,9 +16,9 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def ship(spark: SparkSession) -> None:
     """Give the session's Python workers this package, once per context: they may run on machines, or in
-    folders, that do not have it. Where the session keeps Spark's default of 10,000 rows per Arrow
-    batch, take 1,000: rows hold whole texts, and batches are held off the heap and in the workers."""
-    if spark.conf.get(BATCH) == "10000":
+    folders, that do not have it. Where the session has not set the rows of an Arrow batch, take 1,000
+    instead of Spark's 10,000: rows hold whole texts, and batches are held off the heap and in the workers."""
+    if spark.conf.get(BATCH, "0") == "0":
         spark.conf.set(BATCH, "1000")
     context = spark.sparkContext
     if getattr(context, "_has_tessera", False):
