@@ -120,11 +120,22 @@ def battle_grade(sides: Column, claims_agree: Column) -> Column:
     return F.when(sides == "opposed", "in").when(sides == "support", "peripheral").when(sides == "not opposed", F.when(claims_agree, "disagree").otherwise("out")).otherwise("in")
 
 
+#: Claims that tie a page to a battle, and those that tie pages of a tag only weakly.
+ANCHOR_PROPERTIES = ("P607", "P1344", "P793")
+WEAK_CLAIMS = {"P793": "Person"}
+
+
 def anchor_ties(pages: DataFrame, claims: DataFrame, battles: DataFrame, aliases: DataFrame, least_links: int = 2) -> DataFrame:
-    """(title, verdict, grade, ties) of pages by their ties to battles (battle, qid, umbrella): claims and
-    categories are strong, links (through aliases: alias, battle) weak. An umbrella is never the only
-    tie. Three equi-joins; a tie counts once per battle."""
-    by_claim = pages.select("title", "qid").join(claims, "qid").join(battles.select(F.col("qid").alias("value"), "battle"), "value").select("title", "battle", F.lit(True).alias("strong"))
+    """(title, verdict, grade, ties) of pages (title, qid, tag, categories, links) by their ties to battles
+    (battle, qid, umbrella): claims (qid, prop, value) of the anchor properties and categories are strong,
+    links (through aliases: alias, battle) weak, and so are claims of a property that a page's tag makes
+    weak. An umbrella is never the only tie. Three equi-joins; a tie counts once per battle."""
+    tied = claims.filter(F.col("prop").isin(*ANCHOR_PROPERTIES))
+    weak = F.lit(False)
+    for prop, tag in WEAK_CLAIMS.items():
+        weak = weak | ((F.col("prop") == prop) & F.coalesce(F.col("tag") == tag, F.lit(False)))
+    named = battles.select(F.col("qid").alias("value"), "battle")
+    by_claim = pages.select("title", "qid", "tag").join(tied, "qid").join(named, "value").select("title", "battle", (~weak).alias("strong"))
     by_category = pages.select("title", F.explode("categories").alias("battle")).join(battles.select("battle"), "battle").select("title", "battle", F.lit(True).alias("strong"))
     by_link = pages.select("title", F.explode("links").alias("alias")).join(aliases, "alias").filter("battle <> title").select("title", "battle", F.lit(False).alias("strong"))
     ties = by_claim.unionByName(by_category).unionByName(by_link).groupBy("title", "battle").agg(F.max("strong").alias("strong"))

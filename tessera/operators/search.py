@@ -72,22 +72,28 @@ def mentioning(texts: DataFrame, phrase: str) -> DataFrame:
     return texts.filter(F.concat(F.lit(" "), F.array_join(X.ascii_tokens(F.col("text")), " "), F.lit(" ")).contains(f" {phrase} "))
 
 
-def bm25(texts: DataFrame, query: list[str], k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """Okapi BM25 of texts (id, text) for query words: (id, score). Negative idf values become
-    epsilon times the mean idf of all words. Words are counted over all texts; only those of the
-    query are scored."""
+def bm25(texts: DataFrame, query: list[str], k: int | None = None, allowed: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """Okapi BM25 of texts (id, text) for query words: (id, score) of texts that hold one, the ``k`` best
+    (ties to the smaller id) or all, of the ``allowed`` ids only. Negative idf values become epsilon times
+    the mean idf of all words. Document frequencies are counted over all texts, each word once a text;
+    the query's words are counted where a text is read, so nothing but frequencies is shuffled."""
     words = texts.select("id", X.ascii_tokens(F.col("text")).alias("w"))
-    sizes = words.select("id", F.size("w").alias("dl"))
-    tf = words.select("id", F.explode("w").alias("t")).groupBy("id", "t").agg(F.count(F.lit(1)).alias("tf"))
-    n = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))  # one row
-    idf = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg(F.avg("idf").alias("mean"))
-    asked = texts.sparkSession.createDataFrame([(w, query.count(w)) for w in dict.fromkeys(query)], "t string, repeats int")
-    weighed = idf.join(F.broadcast(asked), "t").crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")))
-    term = F.col("repeats") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    # One row for each word of the query.
-    return tf.join(F.broadcast(weighed.select("t", "repeats", "idf", "avgdl")), "t").join(sizes, "id").groupBy("id").agg(F.sum(term).alias("score"))
+    df = words.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    sizes = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    idf = df.crossJoin(F.broadcast(sizes)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
+    asked = {w: query.count(w) for w in dict.fromkeys(query)}
+    value = lambda w: F.max(F.when(F.col("t") == w, F.col("idf"))).alias(f"i{list(asked).index(w)}")
+    found = idf.agg(F.avg("idf").alias("mean"), F.max("avgdl").alias("avgdl"), *[value(w) for w in asked])
+    rows = words if allowed is None else words.join(allowed.select("id"), "id", "left_semi")
+    rows = rows.filter(F.arrays_overlap("w", F.array(*map(F.lit, asked)))).crossJoin(F.broadcast(found))  # one row
+    score = F.lit(0.0)
+    for i, (word, repeats) in enumerate(asked.items()):
+        tf = F.size("w") - F.size(F.array_remove("w", word))
+        weight = F.when(F.col(f"i{i}") < 0, epsilon * F.col("mean")).otherwise(F.col(f"i{i}"))
+        term = repeats * weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("w") / F.col("avgdl")))
+        score = score + F.when(tf > 0, term).otherwise(0.0)
+    out = rows.select("id", score.alias("score"))
+    return out if k is None else order_by_score(out, F.round("score", 6), k)
 
 
 def chunks(texts: DataFrame) -> DataFrame:

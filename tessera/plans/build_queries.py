@@ -9,25 +9,32 @@ from tessera.operators import closure, corpus, enrich
 from tessera.plans.bridge import Star
 from tessera.plans.registry import query
 
-# Suppliers stand for pages; orders whose key is divisible by 40 for battles, by 200 for umbrellas. An
-# accepted line is a claim, a returned one a category, an open one a link.
-TIES = """b AS (SELECT o_orderkey, o_orderkey % 200 = 0 AS umbrella FROM orders WHERE o_orderkey % 40 = 0),
-t AS (SELECT l_suppkey AS p, o_orderkey AS b, bool_or(l_returnflag <> 'N') AS strong, any_value(umbrella) AS umbrella FROM lineitem JOIN b ON l_orderkey = o_orderkey GROUP BY ALL),
-a AS (SELECT s_suppkey, count(*) FILTER (strong AND NOT umbrella) AS s, count(*) FILTER (b IS NOT NULL AND NOT umbrella) AS specific, count(b) AS n FROM supplier LEFT JOIN t ON p = s_suppkey GROUP BY s_suppkey)"""
+# Orders stand for pages, every third of a person; parts of a first brand for battles, small ones for umbrellas.
+# An accepted line is a claim (one of a battle, an unrelated property, a significant event), a returned one a
+# category, an open one a link.
+TIES = """b AS (SELECT p_partkey, p_size < 10 AS umbrella FROM part WHERE p_brand LIKE '%1'),
+t AS (SELECT l_orderkey AS p, p_partkey AS b, bool_or(l_returnflag = 'R' OR (l_returnflag = 'A' AND (l_linenumber % 3 = 0 OR (l_linenumber % 3 = 2 AND l_orderkey % 3 <> 0)))) AS strong, any_value(umbrella) AS umbrella
+    FROM lineitem JOIN b ON l_partkey = p_partkey WHERE NOT (l_returnflag = 'A' AND l_linenumber % 3 = 1) GROUP BY ALL),
+a AS (SELECT o_orderkey, count(*) FILTER (strong AND NOT umbrella) AS s, count(*) FILTER (b IS NOT NULL AND NOT umbrella) AS specific, count(b) AS n FROM orders LEFT JOIN t ON p = o_orderkey GROUP BY o_orderkey)"""
 
 
 @query(
     "anchor_ties",
-    f"""WITH {TIES}, g AS (SELECT 'S' || s_suppkey AS title, n AS ties, CASE WHEN s > 0 THEN 'strong' WHEN n >= 2 AND specific > 0 THEN 'links' WHEN n = 0 THEN 'none' WHEN specific = 0 THEN 'umbrella only' ELSE 'one battle' END AS grade FROM a)
+    f"""WITH {TIES}, g AS (SELECT 'O' || o_orderkey AS title, n AS ties, CASE WHEN s > 0 THEN 'strong' WHEN n >= 2 AND specific > 0 THEN 'links' WHEN n = 0 THEN 'none' WHEN specific = 0 THEN 'umbrella only' ELSE 'one battle' END AS grade FROM a)
     SELECT title, CASE WHEN grade IN ('strong', 'links') THEN 'anchored' WHEN grade = 'none' THEN 'none' ELSE 'gray' END AS verdict, grade, ties FROM g""",
 )
 def anchor_ties(star: Star) -> DataFrame:
-    battle = F.concat(F.lit("B"), "l_orderkey")
-    lines = star.table("lineitem").filter("l_orderkey % 40 = 0").select("l_suppkey", "l_returnflag", battle.alias("battle"))
-    gathered = lines.groupBy("l_suppkey").agg(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("battle"))).alias("categories"), F.collect_set(F.when(F.col("l_returnflag") == "N", F.col("battle"))).alias("links"))
-    pages = star.table("supplier").join(gathered, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(F.concat(F.lit("S"), "s_suppkey").alias("title"), F.concat(F.lit("Q"), "s_suppkey").alias("qid"), F.coalesce("categories", F.array()).alias("categories"), F.coalesce("links", F.array()).alias("links"))
-    claims = lines.filter("l_returnflag = 'A'").select(F.concat(F.lit("Q"), "l_suppkey").alias("qid"), F.lit("P607").alias("prop"), F.col("battle").alias("value")).distinct()
-    battles = star.table("orders").filter("o_orderkey % 40 = 0").select(F.concat(F.lit("B"), "o_orderkey").alias("battle"), F.concat(F.lit("B"), "o_orderkey").alias("qid"), (F.col("o_orderkey") % 200 == 0).alias("umbrella"))
+    key = lambda prefix, c: F.concat(F.lit(prefix), c)
+    lines = star.table("lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", key("B", "l_partkey").alias("battle"))
+    of = lambda flag: F.collect_set(F.when(F.col("l_returnflag") == flag, F.col("battle")))
+    gathered = lines.groupBy("l_orderkey").agg(of("R").alias("categories"), of("N").alias("links"))
+    pages = star.table("orders").join(gathered, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        key("O", "o_orderkey").alias("title"), key("Q", "o_orderkey").alias("qid"), F.when(F.col("o_orderkey") % 3 == 0, "Person").alias("tag"),
+        F.coalesce("categories", F.array()).alias("categories"), F.coalesce("links", F.array()).alias("links"),
+    )
+    prop = F.element_at(F.array(F.lit("P607"), F.lit("P31"), F.lit("P793")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    claims = lines.filter("l_returnflag = 'A'").select(key("Q", "l_orderkey").alias("qid"), prop.alias("prop"), F.col("battle").alias("value")).distinct()
+    battles = star.table("part").filter("p_brand like '%1'").select(key("B", "p_partkey").alias("battle"), key("B", "p_partkey").alias("qid"), (F.col("p_size") < 10).alias("umbrella"))
     return corpus.anchor_ties(pages, claims, battles, battles.select(F.col("battle").alias("alias"), "battle"))
 
 
@@ -124,9 +131,9 @@ def event_sides(star: Star) -> DataFrame:
     return enrich.event_sides(star.table("lineitem").select(F.concat(F.lit("O"), "l_orderkey").alias("event"), F.col("l_suppkey").alias("target"), F.col("l_linestatus").alias("role"), F.col("l_returnflag").alias("side")))
 
 
-@query("crawl_round", "SELECT l_partkey AS title, 2::INT AS depth FROM lineitem WHERE l_orderkey % 100 = 0 AND l_partkey % 3 <> 0 GROUP BY ALL")
+@query("crawl_round", "SELECT l_partkey AS title, 2::INT AS depth FROM lineitem WHERE l_linestatus = 'O' AND l_partkey % 3 <> 0 GROUP BY ALL")
 def crawl_round(star: Star) -> DataFrame:
     lines = star.table("lineitem")
-    frontier = lines.filter("l_orderkey % 100 = 0").select(F.concat(F.lit("O"), "l_orderkey").alias("title")).distinct().withColumn("depth", F.lit(3))
-    edges = lines.select(F.concat(F.lit("O"), "l_orderkey").alias("source"), F.col("l_partkey").alias("target"))
+    frontier = lines.filter("l_linestatus = 'O'").select(F.concat(F.lit("O"), "l_orderkey").alias("title")).distinct().withColumn("depth", F.lit(3))
+    edges = lines.filter("l_linestatus = 'O'").select(F.concat(F.lit("O"), "l_orderkey").alias("source"), F.col("l_partkey").alias("target"))
     return corpus.crawl_round(frontier, star.table("part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("title"), F.lit(5).alias("depth")), edges)

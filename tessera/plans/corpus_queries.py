@@ -40,10 +40,11 @@ def tokenize(star: Star) -> DataFrame:
 @query("bm25_topk", f"""WITH w AS (SELECT doc_id AS id, {TOKENS.format(t='')} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM w),
     tf AS (SELECT id, u.t, count(*) AS tf FROM w, unnest(w.t) AS u(t) GROUP BY ALL), i AS (SELECT t, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, s GROUP BY t, n), m AS (SELECT avg(idf) AS mean FROM i),
     q(t, r) AS (VALUES ('the', 1), ('licensed', 2), ('version', 1)), g AS (SELECT q.t, r, CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END AS idf FROM q JOIN i ON i.t = q.t, m)
-    SELECT tf.id, round(sum(r * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len(w.t) / avgdl))), 6) AS score FROM tf JOIN g ON g.t = tf.t JOIN w ON w.id = tf.id, s GROUP BY tf.id""")
+    SELECT tf.id, round(sum(r * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len(w.t) / avgdl))), 6) AS score FROM tf JOIN g ON g.t = tf.t JOIN w ON w.id = tf.id, s WHERE tf.id IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY tf.id ORDER BY score DESC, id LIMIT 20""")
 def bm25(star: Star) -> DataFrame:
-    """Scores of all texts that hold a query word; search.order_by_score() takes the top."""
-    return search.bm25(texts(star), ["the", "licensed", "licensed", "version"]).select("id", F.round("score", 6).alias("score"))
+    """A top-k report: of English texts, the 20 that fit a query best; frequencies are those of all texts."""
+    english = star.table("documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"))
+    return search.bm25(texts(star), ["the", "licensed", "licensed", "version"], 20, english).select("id", F.round("score", 6).alias("score"))
 
 
 INSTRUCTION = "Ignore all previous instructions. "
@@ -87,15 +88,22 @@ def text_chunks(star: Star) -> DataFrame:
     return search.chunks(texts(star)).select("text_sha256", F.size("owners").cast("long").alias("owners"))
 
 
-@query("name_index", f"SELECT {NORMAL.format(c='p_name')} AS name, min(p_partkey) AS id FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) = 1")
+NAMED = "n AS (SELECT 'P' || p_partkey AS id, p_name AS label FROM part UNION ALL SELECT 'C' || c_custkey, c_name FROM customer UNION ALL SELECT 'N' || n_nationkey, n_name FROM nation UNION ALL SELECT 'X' || n_nationkey, upper(n_name) FROM nation WHERE n_nationkey % 2 = 0)"
+
+
+@query("name_index", f"WITH {NAMED} SELECT {NORMAL.format(c='label')} AS name, min(id) AS id FROM n GROUP BY 1 HAVING count(DISTINCT id) = 1")
 def name_index(star: Star) -> DataFrame:
-    return search.name_index(star.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")))
+    """Of parts, customers and nations; parts share names, and every other nation has a namesake."""
+    named = lambda table, prefix, key, label: star.table(table).select(F.concat(F.lit(prefix), key).alias("id"), label.alias("label"))
+    nations = named("nation", "N", "n_nationkey", F.col("n_name"))
+    doubles = named("nation", "X", "n_nationkey", F.upper("n_name")).filter("cast(substring(id, 2) as int) % 2 = 0")
+    return search.name_index(named("part", "P", "p_partkey", F.col("p_name")).unionByName(named("customer", "C", "c_custkey", F.col("c_name"))).unionByName(nations).unionByName(doubles))
 
 
 # --- decisions ------------------------------------------------------------------------------------
 
 VEC = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, (label % 2)::INT AS label FROM embeddings)"
-TOP = VEC + ", t AS (SELECT q.id AS query, n.id AS neighbour, round(list_dot_product(q.v, n.v), 9) AS sim, n.label, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.v, n.v), 9) DESC, n.id) AS rank FROM v q JOIN v n ON q.id <> n.id WHERE n.id < 100 {w})"
+TOP = VEC + ", t AS (SELECT q.id AS query, n.id AS neighbour, round(list_dot_product(q.v, n.v), 9) AS sim, n.label, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.v, n.v), 9) DESC, n.id) AS rank FROM v q JOIN v n ON q.id <> n.id)"
 
 
 def _vectors(star: Star) -> DataFrame:
@@ -103,11 +111,11 @@ def _vectors(star: Star) -> DataFrame:
 
 
 def _neighbours(star: Star) -> DataFrame:
-    """The labelled set: the first hundred vectors, as a stand-in for a bounded set of past decisions."""
-    return _vectors(star).filter("id < 100")
+    """The labelled set: all vectors."""
+    return _vectors(star)
 
 
-@query("knn_topk", f"WITH {TOP.format(w='')} SELECT query, neighbour, sim, rank FROM t WHERE rank <= 5")
+@query("knn_topk", f"WITH {TOP} SELECT query, neighbour, sim, rank FROM t WHERE rank <= 5")
 def knn_topk(star: Star) -> DataFrame:
     return decide.similarities(_vectors(star), _neighbours(star), 5).select("query", "neighbour", "sim", F.col("rank").cast("long").alias("rank"))
 
@@ -117,16 +125,16 @@ def _sizes(star: Star) -> tuple[int, int]:
     return r["p"], r["n"]
 
 
-VOTE = "sum(CASE WHEN t.label = 1 THEN greatest(sim, 0) ELSE 0 END) / (SELECT count(*) FROM v WHERE id < 100 AND label = 1)"
-VOTE0 = "sum(CASE WHEN t.label = 0 THEN greatest(sim, 0) ELSE 0 END) / (SELECT count(*) FROM v WHERE id < 100 AND label = 0)"
+VOTE = "sum(CASE WHEN t.label = 1 THEN greatest(sim, 0) ELSE 0 END) / (SELECT count(*) FROM v WHERE label = 1)"
+VOTE0 = "sum(CASE WHEN t.label = 0 THEN greatest(sim, 0) ELSE 0 END) / (SELECT count(*) FROM v WHERE label = 0)"
 
 
-@query("knn_balanced_vote", f"WITH {TOP.format(w='')} SELECT query, round({VOTE} / greatest({VOTE} + {VOTE0}, 1e-9), 6) AS score FROM t WHERE rank <= 7 GROUP BY query")
+@query("knn_balanced_vote", f"WITH {TOP} SELECT query, round({VOTE} / greatest({VOTE} + {VOTE0}, 1e-9), 6) AS score FROM t WHERE rank <= 7 GROUP BY query")
 def knn_balanced_vote(star: Star) -> DataFrame:
     return decide.balanced_vote(decide.similarities(_vectors(star), _neighbours(star), 7), *_sizes(star)).select("query", F.round("score", 6).alias("score"))
 
 
-@query("knn_loo_k", f"WITH {TOP.format(w='AND q.id < 100')}, g AS (SELECT unnest([3, 5, 7, 9, 11, 15, 21]) AS k), s AS (SELECT k, query, {VOTE} / greatest({VOTE} + {VOTE0}, 1e-9) AS score FROM t, g WHERE rank <= k GROUP BY k, query) SELECT k, avg(((score >= 0.5) = (v.label = 1))::INT) AS accuracy FROM s JOIN v ON v.id = query GROUP BY k")
+@query("knn_loo_k", f"WITH {TOP}, g AS (SELECT unnest([3, 5, 7, 9, 11, 15, 21]) AS k), s AS (SELECT k, query, {VOTE} / greatest({VOTE} + {VOTE0}, 1e-9) AS score FROM t, g WHERE rank <= k GROUP BY k, query) SELECT k, avg(((score >= 0.5) = (v.label = 1))::INT) AS accuracy FROM s JOIN v ON v.id = query GROUP BY k")
 def knn_loo_k(star: Star) -> DataFrame:
     return decide.leave_one_out(_neighbours(star), *_sizes(star))
 
@@ -449,19 +457,23 @@ def _events(star: Star) -> DataFrame:
     return star.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _stream(star: Star) -> DataFrame:
+    return windows.events_stream(star.spark, star.dir)
+
+
 @query("stream_tumbling", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(star: Star) -> DataFrame:
-    return windows.tumbling(_events(star)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return windows.drained(windows.tumbling(_stream(star)), "tumbling").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("stream_sliding", "SELECT time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes((15 * k)::INT) AS start, event_type, count(*) AS n FROM events, (SELECT unnest(range(4)) AS k) GROUP BY ALL")
 def stream_sliding(star: Star) -> DataFrame:
-    return windows.sliding(_events(star)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return windows.drained(windows.sliding(_stream(star)), "sliding").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("stream_session", "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
 def stream_session(star: Star) -> DataFrame:
-    return windows.sessions(_events(star)).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+    return windows.drained(windows.sessions(_stream(star)), "sessions").withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
 @query("comention_links", "WITH p AS (SELECT DISTINCT date_trunc('hour', ts) AS h, user_id AS u FROM events) SELECT a.u AS a, b.u AS b, count(*) AS support FROM p a JOIN p b ON a.h = b.h AND a.u < b.u GROUP BY ALL HAVING count(*) >= 3")

@@ -238,9 +238,9 @@ def _units(star: Star) -> DataFrame:
     return star.table("supplier").filter(half > 0).select(F.col("s_suppkey").alias("child"), half.alias("parent"))
 
 
-@query("closure_located_in", f"WITH RECURSIVE {TREE}, c(root, id, level) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier WHERE s_suppkey <= 5 UNION ALL SELECT c.root, p.child, c.level + 1 FROM c JOIN parent p ON p.parent = c.id) SELECT root, id, level FROM c")
+@query("closure_located_in", f"WITH RECURSIVE {TREE}, c(root, id, level) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION ALL SELECT c.root, p.child, c.level + 1 FROM c JOIN parent p ON p.parent = c.id) SELECT root, id, level FROM c")
 def closure_down(star: Star) -> DataFrame:
-    return closure.closure(_units(star), star.table("supplier").filter("s_suppkey <= 5").select(F.col("s_suppkey").alias("id")))
+    return closure.closure(_units(star), star.table("supplier").select(F.col("s_suppkey").alias("id")))
 
 
 @query("ancestor_levels", f"WITH RECURSIVE {TREE}, c(root, id, level) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION ALL SELECT c.root, p.parent, c.level + 1 FROM c JOIN parent p ON p.child = c.id) SELECT root, id, level FROM c WHERE level > 0")
@@ -272,11 +272,10 @@ def bbox(star: Star) -> DataFrame:
     return spatial.in_box(star.places(), 120, -50, -100, 50).select("id", "lat", "lon")
 
 
-@query("area_hits", f"WITH {PLACE}, q AS (SELECT 0.0 AS lat, 0.0 AS lon) SELECT place.id, CASE WHEN (100000 * length(name)) > 10 * 3.141592653589793::DOUBLE * 200 * 200 THEN 'contains' ELSE 'inside' END AS hit FROM place, q WHERE {HAVERSINE.format(a='q.', b='place.')} <= 8000")
+@query("area_hits", f"WITH {PLACE}, q AS (SELECT 0.0 AS lat, 0.0 AS lon) SELECT place.id, CASE WHEN (n_regionkey + 1)::BIGINT * 600000000 > 10 * 3.141592653589793::DOUBLE * 8000 * 8000 THEN 'contains' ELSE 'inside' END AS hit FROM place, q WHERE {HAVERSINE.format(a='q.', b='place.')} <= 8000")
 def area_hits(star: Star) -> DataFrame:
-    rows = star.places().withColumn("area_km2", 100000 * F.length("name"))
-    near = spatial.near(rows, 0.0, 0.0, 8000.0)
-    return near.select("id", F.when(F.col("area_km2") > 10 * 3.141592653589793 * 200 * 200, "contains").otherwise("inside").alias("hit"))
+    size = star.table("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("id"), ((F.col("n_regionkey") + 1).cast("long") * 600_000_000).alias("area_km2"))
+    return spatial.area_hits(star.places().join(size, "id"), 0.0, 0.0, 8000.0).select("id", "hit")
 
 
 @query(
@@ -311,10 +310,10 @@ def connected_locations(star: Star) -> DataFrame:
     return rows.groupBy("actor", "loc").agg(F.max("strength").alias("strength"), F.max_by("via", "strength").alias("via"), F.sum("n").alias("paths"))
 
 
-@query("shared_connections", f"WITH {CONNECTED}, g AS (SELECT actor % 2 AS side, loc, max(strength) AS strength, count(*) AS paths FROM hop WHERE actor <= 10 GROUP BY ALL) SELECT 'N' || a.loc AS loc, least(a.strength, b.strength) AS strength, a.paths + b.paths AS paths FROM g a JOIN g b ON a.loc = b.loc AND a.side = 0 AND b.side = 1")
+@query("shared_connections", f"WITH {CONNECTED}, g AS (SELECT actor % 2 AS side, loc, max(strength) AS strength, count(*) AS paths FROM hop GROUP BY ALL) SELECT 'N' || a.loc AS loc, least(a.strength, b.strength) AS strength, a.paths + b.paths AS paths FROM g a JOIN g b ON a.loc = b.loc AND a.side = 0 AND b.side = 1")
 def shared_connections(star: Star) -> DataFrame:
     key = F.substring("actor", 2, 20).cast("long")
-    g = _connected(star).filter(key <= 10).groupBy((key % 2).alias("side"), "loc").agg(F.max("strength").alias("strength"), F.count(F.lit(1)).alias("paths"))
+    g = _connected(star).groupBy((key % 2).alias("side"), "loc").agg(F.max("strength").alias("strength"), F.count(F.lit(1)).alias("paths"))
     a, b = g.filter("side = 0").select("loc", F.col("strength").alias("x"), F.col("paths").alias("p")), g.filter("side = 1").select("loc", F.col("strength").alias("y"), F.col("paths").alias("q"))
     return a.join(b, "loc").select("loc", F.least("x", "y").alias("strength"), (F.col("p") + F.col("q")).alias("paths"))
 
@@ -363,9 +362,9 @@ def entity_page(star: Star) -> DataFrame:
     return edges.page(_ranked(star), [F.desc("importance"), F.col("id")], 50)
 
 
-@query("confidence", "WITH a AS (SELECT l_suppkey AS id, count(*) AS support, count(DISTINCT l_orderkey % 7) AS pages, count(DISTINCT l_returnflag) AS providers FROM lineitem WHERE l_quantity = 1 GROUP BY 1) SELECT id, support, pages, providers, CASE WHEN support >= 3 AND (pages >= 2 OR providers >= 2) THEN 'high' WHEN support >= 2 THEN 'medium' ELSE 'low' END AS level FROM a")
+@query("confidence", "WITH a AS (SELECT l_suppkey AS id, count(*) AS support, count(DISTINCT l_orderkey % 7) AS pages, count(DISTINCT l_returnflag) AS providers FROM lineitem GROUP BY 1) SELECT id, support, pages, providers, CASE WHEN support >= 3 AND (pages >= 2 OR providers >= 2) THEN 'high' WHEN support >= 2 THEN 'medium' ELSE 'low' END AS level FROM a")
 def confidence(star: Star) -> DataFrame:
-    rows = star.table("lineitem").filter("l_quantity = 1").select(F.col("l_suppkey").alias("id"), (F.col("l_orderkey") % 7).alias("page"), F.col("l_returnflag").alias("provider"))
+    rows = star.table("lineitem").select(F.col("l_suppkey").alias("id"), (F.col("l_orderkey") % 7).alias("page"), F.col("l_returnflag").alias("provider"))
     total = rows.groupBy("id").agg(F.count(F.lit(1)).alias("support"))
     return edges.confidence(rows.join(total, "id"), "id")
 
@@ -373,11 +372,13 @@ def confidence(star: Star) -> DataFrame:
 @query(
     "events_during",
     f"""WITH {EVENT} SELECT a.id AS asked, b.id, datediff('day', b.lo, b.hi) + 1 AS days, CASE WHEN datediff('day', b.lo, b.hi) + 1 <= 30 THEN 'concurrent' ELSE 'ongoing' END AS state
-    FROM event a JOIN event b ON b.lo <= a.hi AND b.hi >= a.lo AND a.id <> b.id WHERE a.o_orderkey % 100 = 0""",
+    FROM event a JOIN event b ON b.lo <= a.hi AND b.hi >= a.lo AND a.id <> b.id WHERE a.o_orderkey = (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)""",
 )
 def events_during(star: Star) -> DataFrame:
+    """Events during one event: the dearest order."""
     e = star.events()
-    asked = e.filter(F.substring("id", 2, 20).cast("long") % 100 == 0)
+    one = star.table("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1).select(F.concat(F.lit("O"), "o_orderkey").alias("id"))
+    asked = e.join(one, "id", "left_semi")
     return timeline.overlapping(asked, e).select("asked", "id", F.col("days").cast("long").alias("days"), "state")
 
 
@@ -407,12 +408,14 @@ def timeline_stops(star: Star) -> DataFrame:
 
 @query(
     "event_chain",
-    f"""WITH {EVENT}, o AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY start_date, name) AS seq FROM event), a AS (SELECT parent, seq AS pos FROM o WHERE o_orderkey % 50 = 0), one AS (SELECT parent, min(pos) AS pos FROM a GROUP BY parent HAVING count(*) = 1)
+    f"""WITH {EVENT}, o AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY start_date, name) AS seq FROM event), one AS (SELECT parent, arg_max(seq, (o_totalprice, o_orderkey)) AS pos FROM o JOIN orders USING (o_orderkey) GROUP BY parent)
     SELECT o.parent, o.id, seq, CASE WHEN seq < pos THEN 'before' WHEN seq > pos THEN 'after' ELSE 'asked' END AS position FROM o JOIN one USING (parent)""",
 )
 def event_chain(star: Star) -> DataFrame:
+    """The events around every customer's dearest order."""
     e = star.events()
-    asked = e.filter(F.substring("id", 2, 20).cast("long") % 50 == 0).groupBy("parent").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).filter("n = 1").select("parent", "id")
+    dearest = F.max(F.struct("o_totalprice", "o_orderkey"))["o_orderkey"]
+    asked = star.table("orders").groupBy("o_custkey").agg(dearest.alias("key")).select(F.concat(F.lit("C"), "o_custkey").alias("parent"), F.concat(F.lit("O"), "key").alias("id"))
     return timeline.event_chain(e, "parent", asked).select("parent", "id", F.col("seq").cast("long").alias("seq"), "position")
 
 
@@ -462,19 +465,18 @@ def geojson_features(star: Star) -> DataFrame:
     return features(star.places(), ["name"])
 
 
-@query("search_exact", "SELECT 'the part 7' AS query, p_partkey AS id, 100 AS score FROM part WHERE false UNION ALL SELECT q.query, p_partkey, CASE WHEN lower(p_name) = lower(q.query) THEN 100 ELSE 94 END FROM part, (SELECT p_name AS query FROM part WHERE p_partkey % 97 = 0 UNION SELECT 'The ' || p_name FROM part WHERE p_partkey % 97 = 1) q WHERE lower(p_name) = regexp_replace(lower(q.query), '^the ', '')")
+@query("search_exact", "SELECT 'the part 7' AS query, p_partkey AS id, 100 AS score FROM part WHERE false UNION ALL SELECT q.query, p_partkey, CASE WHEN lower(p_name) = lower(q.query) THEN 100 ELSE 94 END FROM part, (SELECT p_name AS query FROM part UNION SELECT 'The ' || p_name FROM part) q WHERE lower(p_name) = regexp_replace(lower(q.query), '^the ', '')")
 def search_exact(star: Star) -> DataFrame:
     labels = star.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.lit("name").alias("kind"))
     p = star.table("part")
-    queries = p.filter("p_partkey % 97 = 0").select(F.col("p_name").alias("query")).union(p.filter("p_partkey % 97 = 1").select(F.concat(F.lit("The "), "p_name"))).distinct()
+    queries = p.select(F.col("p_name").alias("query")).union(p.select(F.concat(F.lit("The "), "p_name"))).distinct()
     return search.exact(labels, queries).select("query", "id", "score")
 
 
-@query("search_fuzzy", "SELECT c_custkey AS id, levenshtein(lower(c_name), 'customer#000000123')::INT AS distance FROM customer WHERE levenshtein(lower(c_name), 'customer#000000123') <= 2")
+@query("search_fuzzy", "SELECT p_partkey AS id, levenshtein(lower(p_name), 'smal widgett')::INT AS distance FROM part WHERE levenshtein(lower(p_name), 'smal widgett') <= 3 AND lower(p_name) LIKE 's%'")
 def search_fuzzy(star: Star) -> DataFrame:
-    labels = star.table("customer").select(F.col("c_custkey").alias("id"), F.regexp_replace("c_name", "#", "#").alias("label"))
-    low = labels.withColumn("n", F.lower("label"))
-    return low.withColumn("distance", F.levenshtein("n", F.lit("customer#000000123"))).filter("distance <= 2").select("id", "distance")
+    labels = star.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
+    return search.fuzzy(labels, "Smal widgett").select("id", "distance")
 
 
 @query("search_ranked")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,27 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """All that a stream's source holds now, run to its end: the aggregate's last state as a stored table.
+    Offsets and state live below the session's checkpoint folder; only a session of a single machine may go
+    without one."""
+    spark = stream.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    place = f"{root}/tessera-stream-{name}-{uuid.uuid4().hex}"
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/table")
+
+    store(spark.createDataFrame([], stream.schema), -1)  # a source without rows runs no batch
+    run = stream.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/table")
+
+
 def incremental(stream: DataFrame, store: str, checkpoint: str):
     """Process only texts not seen before: each micro-batch is anti-joined with the hashes in the store
     and appended to it. The checkpoint holds the source's offsets, so a restart repeats no batch."""
