@@ -5,14 +5,15 @@ left of each document (its tail) is packed with its lexical neighbours. Document
 are counted over all documents, whole texts. Of the tokens that two documents or more hold, a document's
 rarest ones decide where it goes: it is routed by the one of the highest BM25 weight among those that no
 more than a shard of documents hold (where there is none, by the rarest), and tails that go by the same
-token lie next to each other, in any order of the input. Every task packs a range of that order in shards
+token lie next to each other, in any order of the input. Every task packs its share of that order in shards
 of ``Config.shard`` tails: a shard's inverted index maps each token of its documents' whole texts to them. A
 seed queries the index; unused neighbours, best BM25 score first, fill its window. The last one is cut
 where the window ends, and its rest is the next seed, so windows carry no padding. The few tokens left
 at a task's end are cut into sequences whose lengths are powers of two, which need none either.
 
-Texts are tokenised once and stored; only tails are shuffled, by a range partitioning whose last key
-numbers the documents, so no token or group of copies gathers more than a shard at a time. Sequence ids
+Texts are tokenised once and stored; only tails are shuffled, by their token. A token that more documents
+hold than a shard has is split into as many parts as it has shards, by the documents' numbers, so no
+token, nor group of copies, gathers more than about a shard. Sequence ids
 are unique over partitions: partition << 33 | counter, and 1 << 62 more for sequences of tails.
 
 Defined cases: a null text is empty; it is one piece, id 0 alone. Repeated rows and repeated ids are
@@ -88,20 +89,24 @@ class Counts:
         df = self.df[token]
         return np.log((self.n - df + 0.5) / (df + 0.5))
 
-    def weights(self, token: np.ndarray, count: np.ndarray, size: np.ndarray, config: Config) -> np.ndarray:
+    def weights(self, token: np.ndarray, count: np.ndarray, size: np.ndarray | int, config: Config) -> np.ndarray:
         """BM25 weight of each token in a document of so many tokens."""
         norm = config.k1 * (1 - config.b + config.b * size / self.mean)
         return self.idf(token) * count * (config.k1 + 1) / (count + norm)
 
-    def route(self, token: np.ndarray, count: np.ndarray, size: int, config: Config) -> int:
-        """The token by which a document is dealt; -1 if no other document holds one of its tokens."""
+    def route(self, token: np.ndarray, count: np.ndarray, size: int, config: Config) -> tuple[int, int]:
+        """The token by which a document is dealt, -1 if no other document holds one of its tokens; and the
+        number of parts into which the documents of that token are split."""
         df = self.df[token]
         rare = (df > 1) & (df <= config.shard)
         if rare.any():
             own = token[rare]
-            return int(own[self.weights(own, count[rare], np.full(len(own), size), config).argmax()])
+            return int(own[self.weights(own, count[rare], size, config).argmax()]), 1
         shared = token[(df > 1) & (2 * df < self.n)]
-        return int(shared[self.df[shared].argmin()]) if len(shared) else -1
+        if not len(shared):
+            return -1, -(-self.n // config.shard)
+        rarest = int(shared[self.df[shared].argmin()])
+        return rarest, -(-int(self.df[rarest]) // config.shard)
 
 
 @dataclass
@@ -279,16 +284,18 @@ def frequencies(stored: DataFrame) -> Counts:
 
 
 def routed(tails: DataFrame, counts: Counts, config: Config) -> DataFrame:
-    """Tails with the token by which each is dealt."""
-    schema = T.StructType([*tails.schema.fields, T.StructField("route", T.LongType())])
+    """Tails with the token, and the part of its documents, by which each is dealt."""
+    schema = T.StructType([*tails.schema.fields, T.StructField("route", T.LongType()), T.StructField("part", T.LongType())])
     shared = tails.sparkSession.sparkContext.broadcast(counts)  # bounded by the vocabulary
     at = tails.columns.index
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(b.column(at("tokens")), b.column(at("counts")), b.column(at("doc_tokens")).to_pylist(), strict=True)
-            route = [shared.value.route(np.frombuffer(t.as_buffer(), "<u4"), np.frombuffer(c.as_buffer(), "<u4"), size, config) for t, c, size in rows]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(route, pa.int64())], names=schema.names)
+            found = [shared.value.route(np.frombuffer(t.as_buffer(), "<u4"), np.frombuffer(c.as_buffer(), "<u4"), size, config) for t, c, size in rows]
+            route, n_parts = np.array(found, np.int64).reshape(-1, 2).T
+            number = b.column(at("sequence_id")).to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(route), pa.array((number + (number >> 33)) % np.maximum(n_parts, 1))], names=schema.names)
 
     return tails.mapInArrow(run, schema)
 
@@ -307,8 +314,7 @@ def pack(df: DataFrame, json_path: str, ranks_path: str, pattern: str, config: C
     shape = [F.col("key").alias(key), *names]
     windows = stored.filter(F.col("kind") == WINDOW).select("key", "start", F.lit(config.size).cast("long").alias("length"), "ids", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
     tails = stored.filter(F.col("kind") == TAIL).select("key", "start", "ids", "doc_tokens", "sequence_id", "tokens", "counts")
-    order = ["route", "sequence_id", "start"]
-    dealt = routed(tails, counts, config).repartitionByRange(parts(spark, counts.n), *order).sortWithinPartitions(*order)
+    dealt = routed(tails, counts, config).repartition(parts(spark, counts.n), "route", "part").sortWithinPartitions("route", "part", "sequence_id")
     schema = T.StructType([source.schema["key"], *T.StructType.fromDDL(SCHEMA).fields])
     shared = spark.sparkContext.broadcast(counts)
 
