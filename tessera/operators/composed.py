@@ -60,7 +60,9 @@ def reach(starts: DataFrame, steps: DataFrame) -> DataFrame:
     """(root, id, strength, hops, path) along steps (from, to, support) to the fixpoint; starts have root,
     id, strength, hops, path. A node counts once for each root, when first met; of equally short ways to
     it the strongest, then the first by name. Known nodes stop cycles."""
-    step = steps.groupBy("from", "to").agg(F.max("support").alias("support"))
+    step = cut(steps.groupBy("from", "to").agg(F.max("support").alias("support")))
+    if step.isEmpty():
+        return starts
     found = front = starts
     while True:
         strength = F.least("strength", "support")
@@ -100,6 +102,7 @@ def profile_paths(starts: DataFrame, links: DataFrame, nodes: DataFrame, hub: in
     its own point, and on to its sub-events; a war only to its sub-events. An actor leads to the places it
     acted or lived at, to the events it took part in (no wars, no hubs) and their places; organisations
     also through their sub-units. ``weak``: weak links of such support lead to locations too."""
+    links = cut(links)  # met in every part below
     typed = starts.select("id").join(nodes.select("id", "type"), "id")
     of = lambda *types: begin(typed.filter(F.col("type").isin(*types)))
     events = nodes.filter("type = 'event'").withColumn("war", war_level(F.col("name"), F.col("kind")))
@@ -147,6 +150,7 @@ def what_happened(hits: DataFrame, nodes: DataFrame, links: DataFrame, low: str
     Without a period every event stays; with one, those whose dates overlap, and undated ones that a
     relation of the period touches. For a named place, part tells events ``at`` it or in it from ``nearby``
     ones whose text (texts: id, text) names it; others go. ``region``: events stated at a place one level up."""
+    links = cut(links)  # met several times below
     kinds = nodes.select("id", "name", "type", "kind", "start_date", "end_date")
     events = kinds.filter((F.col("type") == "event") & ~war_level(F.col("name"), F.col("kind"))).select("id", "start_date", "end_date")
     found = hits.select("id").join(kinds, "id")
