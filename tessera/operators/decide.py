@@ -62,13 +62,54 @@ def leave_one_out(labelled: DataFrame, positives: int, negatives: int, grid: tup
     return scored.join(truth, "query").groupBy("k").agg(F.avg(right.cast("double")).alias("accuracy"))
 
 
+def bounds(rows: DataFrame, key: str, blocks: int = 64, sample: int = 4096) -> list:
+    """At most ``blocks`` - 1 ascending values of a column that cut it into runs of like size. They come
+    from the ``sample`` values with the least hashes: the same at every run, in one bounded job."""
+    drawn = rows.select(key).filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(sample)
+    values = sorted({r[0] for r in drawn.collect()}, key=lambda v: (v != v, v))
+    step = max(1, -(-len(values) // blocks))
+    return values[step::step]
+
+
+def block_of(key: str, cuts: list) -> Column:
+    """The number of cuts at or below a value: the run that holds it. Nulls are in the first."""
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= F.col(key)))
+
+
+def running(rows: DataFrame, key: str, counts: list[str]) -> DataFrame:
+    """Rows of distinct keys with ``before_*`` and ``all_*`` of each count: its sum over smaller keys and over
+    all. Every run of keys is summed in its own task and starts from the totals of the runs before it, of
+    which there are a constant number."""
+    dealt = rows.withColumn("_block", block_of(key, bounds(rows, key)))
+    inside = W.partitionBy("_block").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    everything = W.partitionBy(F.lit(0))
+    totals = dealt.groupBy("_block").agg(*(F.sum(c).alias(f"_sum_{c}") for c in counts))
+    starts = totals.select(
+        "_block",
+        *(F.coalesce(F.sum(f"_sum_{c}").over(ahead), F.lit(0)).alias(f"_start_{c}") for c in counts),
+        *(F.sum(f"_sum_{c}").over(everything).alias(f"all_{c}") for c in counts),
+    )
+    met = dealt.join(F.broadcast(starts), "_block")  # a row for each block
+    before = (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_start_{c}") for c in counts)
+    out = met.select("*", *(b.alias(f"before_{c}") for b, c in zip(before, counts)))
+    return out.drop("_block", *(f"_start_{c}" for c in counts))
+
+
 def cumulative(scored: DataFrame) -> DataFrame:
     """Per distinct score: rows and positives at or above it, and below it. Scores are aggregated
-    before the running sum, which works on distinct scores alone."""
+    before the running sum."""
     per = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    up = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    down = W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    return per.select("score", F.sum("n").over(up).alias("n_ge"), F.sum("pos").over(up).alias("pos_ge"), F.coalesce(F.sum("n").over(down), F.lit(0)).alias("n_lt"), F.coalesce(F.sum("pos").over(down), F.lit(0)).alias("pos_lt"))
+    summed = running(per, "score", ["n", "pos"])
+    return summed.select(
+        "score",
+        (F.col("all_n") - F.col("before_n")).alias("n_ge"),
+        (F.col("all_pos") - F.col("before_pos")).alias("pos_ge"),
+        F.col("before_n").alias("n_lt"),
+        F.col("before_pos").alias("pos_lt"),
+    )
 
 
 def thresholds(scored: DataFrame, target: float, least: int = 3) -> DataFrame:
@@ -168,12 +209,26 @@ def class_of(roots: DataFrame, precedence: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min_by("root_class", F.struct("depth", "rank")).alias("class"))
 
 
+def relative_rank(rows: DataFrame, score: str, cuts: list) -> DataFrame:
+    """Rows with ``_rank``, their place from 0 to 1 by (score, id). Smaller scores are counted by running
+    sums; rows of one score are numbered in runs of ids (``cuts``), so that a frequent score is many tasks."""
+    dealt = rows.withColumn("_run", block_of("id", cuts))
+    cells = dealt.groupBy(score, "_run").agg(F.count(F.lit(1)).alias("n"))
+    per = running(cells.groupBy(score).agg(F.sum("n").alias("n")), score, ["n"])
+    ahead = W.partitionBy(score).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    first = cells.select(F.col(score).alias("_score"), F.col("_run").alias("_of"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_ahead"))
+    first = first.join(per.select(F.col(score).alias("_same"), "before_n", "all_n"), F.col("_score").eqNullSafe(F.col("_same")))
+    first = first.select("_score", "_of", (F.col("_ahead") + F.col("before_n")).alias("_from"), "all_n")
+    met = dealt.join(first, F.col(score).eqNullSafe(F.col("_score")) & (F.col("_run") == F.col("_of")))
+    place = F.col("_from") + F.row_number().over(W.partitionBy(score, "_run").orderBy("id")) - 1
+    return met.withColumn("_rank", place / F.greatest(F.col("all_n") - 1, F.lit(1))).drop("_run", "_score", "_of", "_from", "all_n")
+
+
 def rank_average(rows: DataFrame, scores: list[str]) -> DataFrame:
-    """Mean of the rows' relative ranks under several scores."""
-    n = F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))
-    out = rows
+    """Mean of the rows' relative ranks under several scores, ties by id."""
+    cuts, out = bounds(rows, "id"), rows
     for s in scores:
-        out = out.withColumn(f"_r_{s}", (F.row_number().over(W.orderBy(s, "id")) - 1) / F.greatest(n - 1, F.lit(1)))
+        out = relative_rank(out, s, cuts).withColumnRenamed("_rank", f"_r_{s}")
     return out.withColumn("ensemble", sum((F.col(f"_r_{s}") for s in scores), F.lit(0.0)) / len(scores)).drop(*[f"_r_{s}" for s in scores])
 
 

@@ -11,13 +11,11 @@ from tessera.functions.text import label
 
 
 def mark_spans(rows: DataFrame, by: str = "actor", may_span: Column | None = None) -> DataFrame:
-    """Add span: the row (lo, hi as dates) holds the start of a strictly shorter row of its actor.
-    A shorter row starting inside is found by a window over starts, not by a self-join: with rows in
-    order of start, the shortest row starting from here up to day hi is a range frame."""
+    """Add span: the row (lo, hi as dates) holds the start of a strictly shorter row of its actor. An actor's
+    distinct starting days, each with its least length, are gathered as one array: it grows with the days
+    that the data span, not with the rows."""
     start = F.datediff("lo", F.lit("1900-01-01").cast("date"))
     rows = rows.withColumn("_s", start).withColumn("_d", F.datediff("hi", "lo"))
-    # Least length among rows that start within this one: starts are few per actor, so they are
-    # gathered as an ordered array of (start, least length) and filtered.
     per = rows.groupBy(by, "_s").agg(F.min("_d").alias("m")).groupBy(by).agg(F.collect_list(F.struct("_s", "m")).alias("_all"))
     inside = F.exists("_all", lambda x: (x["_s"] >= F.col("_s")) & (x["_s"] <= F.col("_s") + F.col("_d")) & (x["m"] < F.col("_d")))
     out = rows.join(per, by).withColumn("span", inside if may_span is None else inside & may_span)
@@ -81,6 +79,8 @@ def side_names(rows: DataFrame, top: int = 4) -> DataFrame:
 
 def coverage_probe(stop_rows: DataFrame, by: str = "actor", least: int = 2, options: int = 3) -> DataFrame:
     """Actors with their number of dated stops, whether that is too thin for a path, and whether they
-    are among the best options."""
+    are among the best ``options``, which are found as a top-k and met again by a join."""
     n = stop_rows.groupBy(by).agg(F.count(F.lit(1)).alias("stops"))
-    return n.withColumn("thin", F.col("stops") < least).withColumn("option", F.row_number().over(W.orderBy(F.desc("stops"), by)) <= options)
+    best = n.orderBy(F.desc("stops"), by).limit(options).select(F.col(by).alias("_best"))
+    met = n.join(F.broadcast(best), F.col(by).eqNullSafe(F.col("_best")), "left") if options else n.withColumn("_best", F.lit(None))  # a row for each option
+    return met.select(by, "stops", (F.col("stops") < least).alias("thin"), F.col("_best").isNotNull().alias("option"))

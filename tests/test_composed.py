@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import random
 
-from tessera.operators import closure, composed, spatial
+import pytest
+
+from tessera.operators import closure, composed, decide, spatial
 
 NODE = "id string, name string, type string, kind string, lat double, lon double, start_date string, end_date string"
 EDGE = "source string, target string, type string, family string, count long, start_date string, end_date string, point_date string, event_start string, event_end string, ord long"
@@ -64,3 +66,22 @@ def test_data_limits(spark):
     rows = nodes(spark, [("Q1", "Q1", "event", None, None), ("a", "Place", "location", None, None), ("b", "Thing", "other", None, 1.0)])
     got = {r["id"]: r["limits"] for r in composed.data_limits(rows).collect()}
     assert got == {"Q1": ["name_is_id", "no_text", "no_dates"], "a": ["no_text", "no_geometry"], "b": ["no_text", "type_unresolved"]}
+
+
+def test_running_sums_and_ranks_with_ties_and_nulls(spark):
+    """A frequent score, null scores and text keys: the same ranks as one ordered list."""
+    rows = [(i, 5.0 if i % 3 == 0 else None if i % 10 == 1 else float(i * 37 % 101)) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "id long, score double")
+    ranked = {r.id: r.ensemble for r in decide.rank_average(frame, ["score"]).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
+    assert ranked == pytest.approx({i: place / 1999 for place, (i, _) in enumerate(order)})
+
+    words = spark.createDataFrame([(f"w{i * 7919 % 500:03d}", i) for i in range(500)], "word string, n long")
+    got = [(r.word, r.before_n, r.all_n) for r in decide.running(words, "word", ["n"]).orderBy("word").collect()]
+    ahead = 0
+    for (word, before, whole), (expected, n) in zip(got, sorted((r.word, r.n) for r in words.collect()), strict=True):
+        assert (word, before, whole) == (expected, ahead, sum(range(500)))
+        ahead += n
+
+    empty = decide.rank_average(frame.limit(0), ["score"])
+    assert empty.count() == 0
