@@ -106,3 +106,21 @@ def time_status(low: Column, high: Column, point: Column, several: Column) -> Co
     wrong = lo.rlike(full) & hi.rlike(full) & (day(lo) > day(hi))
     direct = (p != "") | ((lo != "") & (hi != ""))
     return F.when(wrong, "CONFLICT").when(several, "MULTIPLE").when(direct, "DIRECT").when((lo != "") | (hi != ""), "PARTIAL").otherwise("NONE")
+
+
+#: Names of months.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+def short(date: Column) -> Column:
+    """1942-08-07 as 7 Aug 1942, 1943-01 as Jan 1943, a year alone, or whatever else, as it is."""
+    part = lambda i: F.regexp_extract(date, r"^(\d{4})-(0[1-9]|1[0-2])(?:-(\d{2}))?$", i)
+    month = F.element_at(F.array(*map(F.lit, MONTHS)), F.when(part(2) != "", part(2).cast("int")))
+    day = F.when(part(3) != "", F.concat(part(3).cast("int").cast("string"), F.lit(" "))).otherwise("")
+    return F.when(part(1) == "", date).otherwise(F.concat(day, month, F.lit(" "), part(1)))
+
+
+def span_text(start: Column, end: Column) -> Column:
+    """Aug 1942–Jun 1945 from two partial dates, by month; one where they are the same."""
+    a, b = short(F.substring(start, 1, 7)), short(F.substring(end, 1, 7))
+    return F.when(start.isNull() | end.isNull(), "no dates").when(a == b, a).otherwise(F.concat(a, F.lit("–"), b))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 #: Latin letters with marks and their base letters: the part of Unicode decomposition that SQL can state.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -115,3 +116,49 @@ def coordinates_in(text: Column) -> Column:
 
 def safe_url(url: Column) -> Column:
     return F.when(url.rlike(r"^https?://[^\s\"'<>]+$"), url)
+
+
+#: Titles of sections about a ship's namesake.
+NAMESAKE = r"(?:Namesakes?|Name|Naming|Etymology)"
+
+
+def without_sections(wikitext: Column, titles: str = NAMESAKE) -> Column:
+    """Sections of these titles go, each up to the next heading of its level or above. The levels go one
+    after the other, the highest first, so that what lies inside a section goes with it."""
+    out = wikitext
+    for level in range(1, 7):
+        head = rf"^={{{level}}}[ \t]*{titles}[ \t]*={{{level}}}[ \t]*$"
+        out = F.regexp_replace(out, rf"(?smi){head}.*?(?=^={{1,{level}}}[^=\n]+={{1,{level}}}[ \t]*$|\z)", "")
+    return out
+
+
+def collapse(text: Column) -> Column:
+    """Every run of white space as one space."""
+    return F.regexp_replace(text, r"(?U)\s+", " ")
+
+
+@F.pandas_udf(StructType().add("start", IntegerType()).add("end", IntegerType()))
+def raw_span(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    """The code points of a text that a span [start, end) of its collapsed form stands for; null where the
+    span is empty or leaves the text."""
+
+    def one(text: str | None, start: int | None, end: int | None) -> tuple[int | None, int | None]:
+        if text is None or pd.isna(start) or pd.isna(end):
+            return None, None
+        # Each character of the collapsed form is one match: a run of white space, or a character.
+        froms = [m.start() for m in re.finditer(r"\s+|\S", text)] + [len(text)]
+        if not 0 <= start < end < len(froms):
+            return None, None
+        return froms[int(start)], froms[int(end)]
+
+    rows = [one(*r) for r in zip(texts, starts, ends)]
+    return pd.DataFrame(rows, columns=["start", "end"]).astype("Int32")
+
+
+def source_url(provider: Column, record_id: Column, page: Column) -> Column:
+    """The address of a reference: an item of the knowledge base by its number, or a page by its title."""
+    item = F.regexp_extract(record_id, r"^(Q\d+)(?:\$.*)?$", 1)
+    title = F.replace(F.url_encode(F.replace(page, F.lit(" "), F.lit("_"))), F.lit("%2F"), F.lit("/"))
+    by_item = F.when((provider == "Wikidata") & (item != ""), F.concat(F.lit("https://www.wikidata.org/wiki/"), item))
+    by_page = F.when((provider == "Wikipedia") & (page != ""), F.concat(F.lit("https://en.wikipedia.org/wiki/"), title))
+    return F.coalesce(by_item, by_page)

@@ -58,3 +58,25 @@ def resolve_redirects(redirects: DataFrame) -> DataFrame:
     levels = closure(redirects.select(F.col("title").alias("child"), F.col("target").alias("parent")), redirects.select(F.col("title").alias("id")), down=False)
     ends = levels.join(redirects.select(F.col("title").alias("id")), "id", "left_anti").groupBy(F.col("root").alias("title")).agg(F.min("id").alias("end"))
     return redirects.select("title", "target").join(ends, "title", "left").select("title", F.coalesce("end", "target").alias("target"))
+
+
+def layers(steps: DataFrame, seeds: DataFrame, depth: int, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Discovery in layers along steps (from, to, relation): (found, log). ``found`` (id, layer) holds each
+    id in the first layer that meets it; a layer is extended by its ``most`` best met ids (those of most
+    steps, then the smaller id), all by default. ``log`` (layer, candidates, kept, left) says what a limit left out."""
+    found = seeds.select("id").distinct().withColumn("layer", F.lit(0))
+    front, logs = found.select("id"), []
+    for layer in range(1, depth + 1):
+        met = steps.join(front, steps["from"] == front["id"]).groupBy(F.col("to").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        new = cut(met.join(found.select("id"), "id", "left_anti"))
+        kept = new if most is None else cut(new.orderBy(F.desc("n"), "id").limit(most))
+        counted = new.agg(F.count(F.lit(1)).alias("candidates")).withColumn("layer", F.lit(layer))
+        log = counted.join(kept.agg(F.count(F.lit(1)).alias("kept")).withColumn("layer", F.lit(layer)), "layer")
+        logs.append(log.select("layer", "candidates", "kept", (F.col("candidates") - F.col("kept")).alias("left")))
+        if kept.isEmpty():
+            break
+        found, front = found.unionByName(kept.select("id", F.lit(layer).alias("layer"))), kept.select("id")
+    whole = logs[0]
+    for log in logs[1:]:
+        whole = whole.unionByName(log)
+    return found, whole
