@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import choose_one, stable_id
@@ -69,6 +74,113 @@ def cooccurrences(memberships: DataFrame) -> DataFrame:
     return pairs.join(own, "a").withColumn("strength", F.col("n") / F.col("groups")).drop("groups")
 
 
+def shared_groups(memberships: DataFrame, least: int, width: int = 4096) -> DataFrame:
+    """(a, b, n): members a < b that share at least ``least`` groups (group, member); nulls share nothing.
+
+    Pairs are counted where they meet and never shuffled: members are dealt into blocks of about ``width``
+    by hash, and a task counts the pairs of two blocks from the groups that both have members in. So what
+    is shuffled grows with the memberships times the blocks, however large a group is."""
+    m = memberships.select("group", "member").filter("group is not null and member is not null").distinct()
+    blocks = max(1, -(-m.select("member").distinct().count() // width))
+    block = F.pmod(F.xxhash64("member"), F.lit(blocks)).cast("int")
+    order = W.partitionBy("block").orderBy("member")
+    at = m.select("member").distinct().withColumn("block", block).withColumn("at", (F.row_number().over(order) - 1).cast("int"))
+    held = m.join(at, "member").groupBy("block", "group").agg(F.collect_list(F.col("at").cast("short")).alias("in"))
+    named = at.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "member")))["member"].alias("names"))
+    of = lambda df, by, c, x: df.select(*by, F.col("block").alias(x), F.col(c).alias(f"{c}_{x}"))
+    met = of(held, ["group"], "in", "i").join(of(held, ["group"], "in", "j"), "group").filter("i <= j").drop("group")
+    firsts = of(named, [], "names", "i").withColumn("j", F.explode(F.sequence("i", F.lit(blocks - 1))))
+    heads = firsts.join(of(named, [], "names", "j"), "j")  # a row for each two blocks
+    rows = met.unionByName(heads, allowMissingColumns=True).select("i", "j", "names_i", "names_j", "in_i", "in_j")
+    dealt = rows.repartition("i", "j").sortWithinPartitions("i", "j", F.col("names_i").isNull())  # names come first
+    kind = m.schema["member"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile: _Tile | None = None
+        for b in batches:
+            i, j = b.column(0).to_numpy(), b.column(1).to_numpy()
+            start = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1]))) if len(i) else []
+            for low, high in zip(start, [*start[1:], len(i)], strict=True):
+                part = b.slice(low, high - low)
+                if part.column(2)[0].is_valid:
+                    if tile is not None:
+                        yield from tile.pairs(least)
+                    tile = _Tile(part.column(2)[0].values, part.column(3)[0].values, i[low] == j[low])
+                    part = part.slice(1)
+                assert tile is not None
+                tile.add(part.column(4), part.column(5))
+        if tile is not None:
+            yield from tile.pairs(least)
+
+    found = dealt.mapInArrow(run, f"a {kind}, b {kind}, n long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n")
+
+
+class _Tile:
+    """How many groups each member of one block shares with each of another. Pairs of thin groups are
+    listed until they are many; those of thick groups are a product of 0/1 matrices."""
+
+    def __init__(self, x: pa.Array, y: pa.Array, same: bool):
+        self.x, self.y, self.same = x, y, same
+        self.cells = len(x) * len(y)
+        self.count: np.ndarray | None = None
+        self.keys: list[np.ndarray] = []
+        self.listed = 0
+
+    def _dense(self) -> np.ndarray:
+        if self.count is None:
+            self.count = np.zeros((len(self.x), len(self.y)), np.int32)
+        return self.count
+
+    def _settle(self) -> None:
+        """Listed pairs into the counts."""
+        if self.keys:
+            np.add.at(self._dense().reshape(-1), np.concatenate(self.keys), 1)
+            self.keys, self.listed = [], 0
+
+    def add(self, xs: pa.Array, ys: pa.Array) -> None:
+        """Groups: their members in both blocks."""
+        nx, ny = xs.value_lengths().to_numpy().astype(np.int64), ys.value_lengths().to_numpy().astype(np.int64)
+        vx, vy = xs.flatten().to_numpy().astype(np.int64), ys.flatten().to_numpy().astype(np.int64)
+        thick = nx * ny * 200 > self.cells
+        fx, fy = np.cumsum(nx) - nx, np.cumsum(ny) - ny
+        for g in np.flatnonzero(~thick).tolist():
+            key = (vx[fx[g] : fx[g] + nx[g], None] * len(self.y) + vy[None, fy[g] : fy[g] + ny[g]]).reshape(-1)
+            self.keys.append(key)
+            self.listed += len(key)
+            if self.listed * 8 > self.cells:
+                self._settle()
+        rank = np.cumsum(thick) - 1
+        n_thick = int(thick.sum())
+        of = lambda n, v: (np.repeat(np.where(thick, rank, -1), n), v)
+        (gx, vx), (gy, vy) = of(nx, vx), of(ny, vy)
+        for low in range(0, n_thick, 512):
+            high = min(low + 512, n_thick)
+            a, b = np.zeros((high - low, len(self.x)), np.float32), np.zeros((high - low, len(self.y)), np.float32)
+            own, other = (gx >= low) & (gx < high), (gy >= low) & (gy < high)
+            a[gx[own] - low, vx[own]] = 1
+            b[gy[other] - low, vy[other]] = 1
+            np.add(self._dense(), a.T @ b, out=self._dense(), casting="unsafe")
+
+    def pairs(self, least: int) -> Iterator[pa.RecordBatch]:
+        """The pairs counted at least so often; of one block with itself each pair once."""
+        if self.count is None and self.keys:
+            key, n = np.unique(np.concatenate(self.keys), return_counts=True)
+            yield from self._batch(*np.divmod(key, len(self.y)), n, least)
+            return
+        self._settle()
+        if self.count is not None:
+            for low in range(0, len(self.x), 32):
+                part = self.count[low : low + 32]
+                i, j = np.nonzero(part >= least)
+                yield from self._batch(i + low, j, part[i, j], least)
+
+    def _batch(self, i: np.ndarray, j: np.ndarray, n: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+        keep = (n >= least) & (i < j) if self.same else n >= least
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([self.x.take(pa.array(i[keep])), self.y.take(pa.array(j[keep])), pa.array(n[keep].astype(np.int64))], names=["a", "b", "n"])
+
+
 def dictionary(texts: DataFrame) -> DataFrame:
     """Distinct texts: (text_sha256, text, n, first). The key is hash and text, so a collision of
     hashes stays two rows."""

@@ -480,4 +480,4 @@ def stream_session(star: Star) -> DataFrame:
 def comention_links(star: Star) -> DataFrame:
     """Weak links: users seen in the same hour, often enough."""
     rows = _events(star).select(F.date_trunc("hour", "ts").alias("group"), F.col("user_id").alias("member"))
-    return release.cooccurrences(rows).filter("a < b and n >= 3").select("a", "b", F.col("n").alias("support"))
+    return release.shared_groups(rows, 3).select("a", "b", F.col("n").alias("support"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -265,3 +266,28 @@ def test_incremental_store(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
         windows.incremental(spark.readStream.schema(schema).parquet(str(source)), store, c).awaitTermination()
         assert spark.read.parquet(store).count() == [2, 3][batch]
+
+
+@pytest.mark.parametrize("width", [4096, 40])
+def test_shared_groups_equal_brute_force(spark, width):
+    """Thick and thin groups, repeated and null rows, one block and many."""
+    rng = random.Random(3)
+    rows = [(g, m) for g in range(60) for m in rng.sample(range(300), 200 if g < 4 else rng.randint(1, 12))]
+    rows += rows[:500] + [(None, 1), (None, 2), (3, None)]
+    got = sorted(tuple(r) for r in release.shared_groups(spark.createDataFrame(rows, "group int, member long"), 3, width).collect())
+    groups = {}
+    for g, m in rows:
+        if g is not None and m is not None:
+            groups.setdefault(m, set()).add(g)
+    expected = [(a, b, len(groups[a] & groups[b])) for a in sorted(groups) for b in sorted(groups) if a < b and len(groups[a] & groups[b]) >= 3]
+    assert got == expected
+    texts = spark.createDataFrame([(g, None if m is None else f"m{m:03d}") for g, m in rows], "group int, member string")
+    assert release.shared_groups(texts, 3, width).count() == len(expected)
+
+
+def test_shared_groups_shuffle_no_pairs(spark):
+    """A group of 3,000 has 4.5 million pairs; what is exchanged stays near its memberships."""
+    rows = spark.range(6000).selectExpr("id % 2 as group", "id div 2 as member")
+    out = release.shared_groups(rows, 2, 1000)
+    assert out.count() == 3000 * 2999 // 2
+    assert "sum(" not in out._jdf.queryExecution().executedPlan().toString()  # no count of shuffled pairs
