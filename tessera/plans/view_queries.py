@@ -71,7 +71,7 @@ PATHS = f"""{EVENT}, {OCCURRED}, up(root, id, hops) AS (SELECT s_suppkey, s_supp
 def _profiles(star: Star) -> DataFrame:
     all_links = links(star, star.edges("BASED_AT", "SUPPLIED"), part_of(star), occurred(star))
     starts = star.table("supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("id"))
-    return C.connected_locations(C.profile_paths(starts, all_links, nodes(star)))
+    return C.profile_locations(starts, all_links, nodes(star))
 
 
 @query("profile_locations", f"WITH RECURSIVE {PATHS} SELECT 'S' || root AS root, loc, most::BIGINT AS strength, min(hops) FILTER (strength = most)::INT AS hops, count(*) AS paths FROM best GROUP BY root, loc, most")

@@ -39,6 +39,25 @@ def test_profile_rules(spark):
     assert [(r["root"], r["strength"]) for r in weak] == [("u", 3)]
 
 
+def test_profiles_are_summed_without_listing_paths(spark):
+    """Random graphs of all roles, with cycles, sub-events, hubs, wars and own points: the same rows as
+    those of the listed paths."""
+    rng = random.Random(1)
+    rows = [(f"o{i}", "Unit", "org", None, None) for i in range(6)] + [(f"p{i}", "Person", "person", None, None) for i in range(3)] + [(f"x{i}", "Thing", "other", None, rng.choice([None, 1.0])) for i in range(4)]
+    rows += [(f"e{i}", rng.choice(["Battle", "Raid", "World War"]), "event", None, rng.choice([None, 2.0])) for i in range(12)] + [(f"l{i}", "Place", "location", None, 3.0) for i in range(5)]
+    ids = {t: [r[0] for r in rows if r[2] == t] for t in ("org", "person", "other", "event", "location")}
+    actors, spots = ids["org"] + ids["person"] + ids["other"], ids["location"] + ids["other"]
+    pick = lambda a, role, b, n: [(rng.choice(a), role, rng.choice(b), rng.randint(1, 4)) for _ in range(n)]
+    edges = pick(ids["org"] + ids["other"], "part_of", ids["org"] + ids["other"], 8) + pick(ids["event"], "part_of", ids["event"], 10) + pick(actors, "event_link", ids["event"], 40)
+    edges += pick(ids["event"], "occurred_at", spots, 8) + pick(actors, "acted_at", spots, 8) + pick(ids["location"], "located_in", ids["location"], 4) + pick(actors, "weak", ids["location"], 6)
+    known, links = nodes(spark, rows), graph(spark, edges)
+    starts = known.select("id")
+    listed = composed.connected_locations(composed.profile_paths(starts, links, known, hub=2, weak=2))
+    summed = composed.profile_locations(starts, links, known, hub=2, weak=2)
+    assert summed.columns == listed.columns
+    assert sorted(map(repr, summed.collect())) == sorted(map(repr, listed.collect())) != []
+
+
 def test_closures_run_to_the_end(spark):
     chain = spark.createDataFrame([(f"{i + 1:03d}", f"{i:03d}") for i in range(40)], "child string, parent string")
     assert closure.closure(chain, spark.createDataFrame([("000",)], "id string")).count() == 41
