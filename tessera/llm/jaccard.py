@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import textkernel as K
-from tessera.llm.common import materialize, parts, sieve, table
+from tessera.llm.common import materialize, parts, sieve, table, trimmed
 from tessera.llm.graph import components
 
 U = K.U
@@ -127,7 +127,7 @@ def sketch(docs: DataFrame, config: Config) -> DataFrame:
                 lists = pa.ListArray.from_arrays(at, pa.array(mins.ravel()), mask=pa.array(empty))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first, len(t)), b.column(1).slice(t.first, len(t)), lists], names=["doc_id", "tid", "mins"])
 
-    return source.mapInArrow(run, "doc_id long, tid string, mins array<long>")
+    return source.mapInArrow(trimmed(run), "doc_id long, tid string, mins array<long>")
 
 
 def buckets(texts: DataFrame, config: Config, n_parts: int | None = None) -> DataFrame:
@@ -249,7 +249,7 @@ def candidates(members: DataFrame, texts: DataFrame, config: Config) -> DataFram
             if keep.any():
                 yield pa.RecordBatch.from_arrays([g.column(i) for i in range(6)], names=MEMBER).filter(pa.array(keep))
 
-    return rows.select(*MEMBER, "mins").mapInArrow(run, "place long, path array<int>, left int, right int, own int, tid string")
+    return rows.select(*MEMBER, "mins").mapInArrow(trimmed(run), "place long, path array<int>, left int, right int, own int, tid string")
 
 
 def _shared(gram: np.ndarray, of: np.ndarray, n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -282,7 +282,7 @@ def sets(texts: DataFrame, config: Config) -> DataFrame:
                 data = pa.Array.from_buffers(pa.binary(), len(t), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(gram.astype("<u8"))])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(t.first, len(t)), data], names=["tid", "grams"])
 
-    return texts.select("tid", "text").mapInArrow(run, "tid string, grams binary")
+    return texts.select("tid", "text").mapInArrow(trimmed(run), "tid string, grams binary")
 
 
 def links(chosen: DataFrame, held: DataFrame, config: Config) -> DataFrame:
@@ -320,7 +320,7 @@ def links(chosen: DataFrame, held: DataFrame, config: Config) -> DataFrame:
             tid = g.column(5)
             yield pa.RecordBatch.from_arrays([tid.take(pa.array(keep)), tid.take(pa.array(root[keep])), pa.array(count[keep])], names=["tid", "root", "n"])
 
-    return rows.mapInArrow(run, "tid string, root string, n long")
+    return rows.mapInArrow(trimmed(run), "tid string, root string, n long")
 
 
 def near_duplicates(docs: DataFrame, config: Config = Config()) -> DataFrame:

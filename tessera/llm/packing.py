@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import parts, scratch_path, strings, table
+from tessera.llm.common import parts, scratch_path, strings, table, trimmed
 
 SPECIAL = "<|endoftext|>"
 #: Characters on which all versions of the Unicode tables agree, so that either library cuts alike.
@@ -262,7 +262,7 @@ def tokenised(source: DataFrame, names: tuple[str, str, str], config: Config) ->
             rows.append((None, FREQUENCIES, n, None, size, base, pack(token), pack(df[token])))
             yield emit()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def frequencies(stored: DataFrame) -> Counts:
@@ -319,6 +319,7 @@ def pack(df: DataFrame, json_path: str, ranks_path: str, pattern: str, config: C
     shared = spark.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _tokenizers.clear()  # all is tokenised: about 60 MB a worker
         packer = Packer(config, (1 << 62) + (TaskContext.get().partitionId() << 33))
         tails: list[Tail] = []
         kind = None
@@ -341,7 +342,7 @@ def pack(df: DataFrame, json_path: str, ranks_path: str, pattern: str, config: C
         if packer.out:
             yield emit()
 
-    return windows.unionByName(dealt.mapInArrow(run, schema)).select(*shape)
+    return windows.unionByName(dealt.mapInArrow(trimmed(run), schema)).select(*shape)
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -941,6 +941,20 @@ def test_fuzzy_passage_of_words_quoted_before(spark):
     assert [(r["doc_id"], r["ref_doc_id"]) for r in passages.passages(df).collect()] == [(4, 3)]
 
 
+def test_packing_leaves_no_tokenizers_in_workers(spark):
+    """Workers serve other stages afterwards, whose memory they share."""
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, f"text {i} of some words " * 40) for i in range(64)], "doc_id long, text string").repartition(8)
+    assert packing.packed(docs).count() >= 64
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing._tokenizers)])], names=["n"])
+
+    assert spark.range(0, 64, 1, 16).mapInArrow(kept, "n long").agg({"n": "max"}).first()[0] == 0
+
+
 def test_cover_keeps_every_word():
     rng = np.random.default_rng(17)
     words = lambda a, b: set().union(*(range(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)))
