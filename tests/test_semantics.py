@@ -9,6 +9,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,3 +321,24 @@ def test_neighbours_of_few_and_odd_rows(spark):
     assert got == [(2, 1, 0.5, 1, 1), (2, 1, 0.5, 1, 2)]
     assert values(decide.similarities(known.filter("id = 1").distinct(), known, 5)) == [(1, 2, 0.5, None, 1)]
     assert decide.similarities(known, known.limit(0), 5).count() == 0
+
+
+def test_nearest_queries_of_more_than_100000_vectors(spark, tmp_path):
+    """knn_topk and knn_loo_k themselves: vectors of a label are alike, so that votes are all right."""
+    from __spark_entry__ import queries
+
+    n = 100_001
+    second = np.random.default_rng(11).uniform(-0.5, 0.5, n).astype(np.float32)
+    vectors = np.stack([np.where(np.arange(n) % 2 == 1, 1, -1).astype(np.float32), second], axis=1)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * n + 1, 2, dtype=np.int32)), pa.array(vectors.ravel()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": flat, "label": pa.array(np.arange(n) % 2, pa.int32())}), tmp_path / "embeddings.parquet")
+    accuracy = values(queries()["knn_loo_k"](spark, str(tmp_path)))
+    assert sorted(accuracy) == [(k, 1.0) for k in decide.K_GRID]
+    top = queries()["knn_topk"](spark, str(tmp_path)).persist()
+    assert top.count() == 5 * n
+    for q in (0, 1, 50_000, n - 1):
+        sim = np.round(vectors.astype(float) @ vectors[q].astype(float), 9)
+        sim[q] = -np.inf
+        got = [tuple(r) for r in top.filter(f"query = {q}").orderBy("rank").collect()]
+        assert got == [(q, int(b), float(sim[b]), rank) for rank, b in enumerate(np.lexsort((np.arange(n), -sim))[:5], 1)]
+    top.unpersist()
