@@ -962,6 +962,24 @@ def test_fuzzy_passages_do_not_depend_on_other_documents(spark):
     assert found(frame(dict(enumerate(quotes)) | pairs, 7)) == alone
 
 
+def test_common_line_is_not_paired(spark, monkeypatch):
+    """A line that many texts hold, and some twice, makes no matches of texts that share no more than it."""
+    rng = random.Random(49)
+    fill = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    line = fill(16)
+    texts = [fill(40) + line + fill(40) for _ in range(120)] + [fill(70) + line + fill(14) + line + fill(70) for _ in range(20)]
+    made, real = [], passages.chains
+
+    def counted(found, config):
+        made.append(found.count())
+        return real(found, config)
+
+    monkeypatch.setattr(passages, "chains", counted)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert passages.passages(df).filter("doc_id < 120").count() == 0
+    assert made[-1] < 20 * 120
+
+
 def test_packing_leaves_no_tokenizers_in_workers(spark):
     """Workers serve other stages afterwards, whose memory they share."""
     import pyarrow as pa
