@@ -980,6 +980,14 @@ def test_common_line_is_not_paired(spark, monkeypatch):
     assert made[-1] < 20 * 120
 
 
+def test_fewest_passages(spark):
+    """Of references of the same words the first stays, of two documents' passages those that no others cover."""
+    rows = [(30, 5, 85, 11, 7, 87, 0.9, b"a"), (30, 5, 85, 10, 3, 83, 0.9, b"a"), (30, 5, 85, 20, 1, 81, 0.95, b"b")]
+    rows += [(30, 20, 75, 20, 16, 71, 0.95, b"c"), (30, 60, 120, 20, 56, 116, 0.9, b"d"), (31, 20, 75, 20, 16, 71, 0.95, b"c")]
+    found = passages.fewest(spark.createDataFrame(rows, passages.PASSAGE + ", copy binary").repartition(3)).collect()
+    assert sorted(tuple(r)[:4] for r in found) == [(30, 5, 85, 10), (30, 5, 85, 20), (30, 60, 120, 20), (31, 20, 75, 20)]
+
+
 def test_packing_leaves_no_tokenizers_in_workers(spark):
     """Workers serve other stages afterwards, whose memory they share."""
     import pyarrow as pa
